@@ -191,9 +191,9 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int, h: Ha
 
 
 #: For neighbours of cosine 0.9 and more.
-CLOSE = Hashing(tables=4, functions=16, width=2.0, probes=5)
+CLOSE = Hashing(tables=5, functions=16, width=2.0, probes=7)
 #: For the nearest whatever their cosine; in these data most lie near 0.47, little above the rest.
-WIDE = Hashing(tables=2, functions=6, width=2.0, probes=60)
+WIDE = Hashing(tables=2, functions=5, width=2.0, probes=60)
 
 
 def p2_found(spark, d):
