@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from webloom.llm import rank_fusion, residue, similar_vectors
+from webloom.llm import rank_fusion, residue, similar_vectors, split_overlap
 
-_MODULES = (rank_fusion, similar_vectors, residue)
+_MODULES = (rank_fusion, similar_vectors, residue, split_overlap)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
