@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from webloom.llm import boilerplate, rank_fusion, residue, similar_vectors, split_overlap
+from webloom.llm import boilerplate, rank_fusion, residue, similar_vectors, split_overlap, stuffing
 
-_MODULES = (rank_fusion, similar_vectors, residue, boilerplate, split_overlap)
+_MODULES = (rank_fusion, similar_vectors, residue, boilerplate, stuffing, split_overlap)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
