@@ -139,7 +139,7 @@ class Models:
             own, others = h[right == j, j], h[right != j, j]
             if len(own) >= 20 and len(others) >= 20:
                 usual, foreign = np.quantile(own, 0.99), np.quantile(others, 0.1)
-                self.limit[j] = max(usual, usual + 0.75 * (foreign - usual))
+                self.limit[j] = max(usual, usual + 0.95 * (foreign - usual))
 
     @staticmethod
     def _shares(h: np.ndarray, n: np.ndarray, heat: float) -> np.ndarray:
