@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from webloom.operators import evaluation, graph, identity, merge, search, usage
+from webloom.streaming import epochs
+
+_MODULES = (identity, merge, search, usage, graph, evaluation, epochs)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
 
 def flagship(spark, d):
-    return QUERIES["q"](spark, d)
+    """Sites found for each distinct query, by BM25 blended with popularity."""
+    return QUERIES["blended_top"](spark, d)
