@@ -104,7 +104,7 @@ def _nearest(k: int, least: float, mutual: bool):
                 border = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
                 take = (cos >= border) & (cos >= least)
                 if (take.sum(axis=1) > k + 8).any():
-                    order = np.lexsort((np.broadcast_to(ids[cols], cos.shape), -np.round(cos, 6)), axis=1)[:, :k]
+                    order = np.lexsort((np.broadcast_to(ids[cols], cos.shape), -cos), axis=1)[:, :k]
                     chosen = np.zeros_like(take)
                     np.put_along_axis(chosen, order, True, axis=1)
                     take = chosen & (cos >= least)
@@ -120,7 +120,7 @@ def _nearest(k: int, least: float, mutual: bool):
             q, m = rows[query[lo:hi]], rows[member[lo:hi]]
             if not len(q) or not len(m):
                 continue
-            cos = (x[q] @ x[m].T).astype(np.float64) / (norm[q][:, None] * norm[m][None, :])
+            cos = np.round((x[q] @ x[m].T).astype(np.float64) / (norm[q][:, None] * norm[m][None, :]), 6)
             cos[ids[q][:, None] == ids[m][None, :]] = -2.0
             best(cos, q, m)
             if mutual:
@@ -128,7 +128,7 @@ def _nearest(k: int, least: float, mutual: bool):
         if not found:
             return pd.DataFrame({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64), "cos": np.array([], dtype=np.float64)})
         a, b, c = (np.concatenate(z) for z in zip(*found))
-        out = pd.DataFrame({"a": a, "b": b, "cos": np.round(c, 6)})
+        out = pd.DataFrame({"a": a, "b": b, "cos": c})
         return out[out["cos"] > -1.5].drop_duplicates(["a", "b"])
 
     return run
@@ -166,16 +166,18 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int, h: Ha
     # a bucket of q queries and m members is cut into blocks; every block of queries meets every block of members
     sizes = spread.groupBy("t", "key").agg(F.count_if("query").alias("q"), F.count_if("member").alias("m"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    hot = sizes.filter((F.col("q") > BLOCK) | (F.col("m") > BLOCK)).select("t", "key", F.greatest(blocks("q"), F.lit(1)).alias("qs"), F.greatest(blocks("m"), F.lit(1)).alias("ms"))
-    cut = spread.join(hot, ["t", "key"], "left").select("*", F.pmod(F.xxhash64("id"), F.coalesce("qs", F.lit(1))).alias("q0"), F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce("ms", F.lit(1))).alias("m0"))
-    every = lambda n: F.transform(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1), lambda x: x.cast("long"))
-    plain = cut.filter("qs is null").select("id", "v", "t", "key", "member", "query", F.lit(0).cast("long").alias("qb"), F.lit(0).cast("long").alias("mb"))
-    split = cut.filter("qs is not null")
-    as_query = split.filter("query").select("id", "v", "t", "key", F.lit(False).alias("member"), F.lit(True).alias("query"), F.col("q0").alias("qb"), F.explode(every(F.col("ms"))).alias("mb"))
-    as_member = split.filter("member").select("id", "v", "t", "key", F.lit(True).alias("member"), F.lit(False).alias("query"), F.explode(every(F.col("qs"))).alias("qb"), F.col("m0").alias("mb"))
+    hot = keep(sizes.filter((F.col("q") > BLOCK) | (F.col("m") > BLOCK)).select("t", "key", F.greatest(blocks("q"), F.lit(1)).alias("qs"), F.greatest(blocks("m"), F.lit(1)).alias("ms")))
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    place = lambda member, query, qb, mb: F.struct(member.alias("member"), query.alias("query"), qb.cast("int").alias("qb"), mb.cast("int").alias("mb"))
+    no, yes, zero = F.lit(False), F.lit(True), F.lit(0)
+    q0, m0 = F.pmod(F.xxhash64("id"), F.col("qs")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("ms"))
+    none = F.array().cast("array<struct<member:boolean,query:boolean,qb:int,mb:int>>")
+    split = F.concat(F.when(F.col("query"), every(F.col("ms"), lambda x: place(no, yes, q0, x))).otherwise(none), F.when(F.col("member"), every(F.col("qs"), lambda x: place(yes, no, x, m0))).otherwise(none))
+    whole = F.array(place(F.col("member"), F.col("query"), zero, zero))
+    cut = spread.join(hot, ["t", "key"], "left").select("id", "v", "t", "key", F.explode(F.when(F.col("qs").isNull(), whole).otherwise(split)).alias("x")).select("id", "v", "t", "key", "x.*")
     rows_n = h.tables * (1 + h.probes) * heads.count()
     groups = max(1, rows_n // GROUP_ROWS)
-    placed = plain.union(as_query).union(as_member).withColumn("grp", F.pmod(F.xxhash64("t", "key", "qb", "mb"), F.lit(groups)))
+    placed = cut.withColumn("grp", F.pmod(F.xxhash64("t", "key", "qb", "mb"), F.lit(groups)))
     near = placed.groupBy("grp").applyInPandas(_nearest(k + 1, least, mutual=not queries), "a long, b long, cos double")
     # merge of the tables' candidates; each neighbour stands for its copies
     both = near.groupBy("a", "b").agg(F.max("cos").alias("cos"))
@@ -191,7 +193,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int, h: Ha
 
 
 #: For neighbours of cosine 0.9 and more.
-CLOSE = Hashing(tables=5, functions=16, width=2.0, probes=7)
+CLOSE = Hashing(tables=5, functions=16, width=2.5, probes=7)
 #: For the nearest whatever their cosine; in these data most lie near 0.47, little above the rest.
 WIDE = Hashing(tables=2, functions=5, width=2.0, probes=60)
 
