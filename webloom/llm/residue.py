@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from webloom.plans.lineage import keep
 from webloom.sources.tables import table
@@ -76,7 +77,7 @@ def masked(text: str, source: str) -> str:
 _PLACEHOLDER = re.compile(PLACEHOLDER.replace(r"\p{L}\d_.", r"\w.").replace(r"[\p{L}_]", r"[^\W\d]").replace(r"\p{L}", r"[^\W\d_]").replace(r"[[^\W\d_]\d]", r"[^\W_]"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _masked(texts: pd.Series, sources: pd.Series) -> pd.Series:
     """The masked form of a text that holds one of LITERALS, else null: only such texts can match."""
     import ahocorasick

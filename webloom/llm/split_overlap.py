@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from webloom.plans.lineage import keep
 from webloom.sources.tables import table
@@ -22,7 +23,7 @@ SMALL = set("""a an the of for in on at to by and or is are was my me i you it i
 der die das und bitte heute jetzt hier online le la les de des et ici svp el los las y por favor hoy aqui il lo gli e oggi per favore het een en vandaag""".split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _tokens(texts: pd.Series) -> pd.Series:
     """Words and numbers, without letter case, accents, character width and punctuation, one blank between."""
 
@@ -86,7 +87,7 @@ def same_question(a: str, b: str) -> bool:
     return edits <= 2 and len(extra) <= 1 and all(w in SMALL or len(w) <= 3 and not w.isdigit() for w in extra)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_question(x, y) for x, y in zip(a, b)], dtype=bool)
 

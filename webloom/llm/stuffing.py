@@ -89,10 +89,12 @@ class Trees:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
+        self.trees: list[tuple[np.ndarray, ...]] = []
+        if not len(y):
+            return
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
         b = self._binned(x)
-        self.trees = []
-        for _ in range(TREES if len(y) else 0):
+        for _ in range(TREES):
             rows = rng.integers(0, len(y), len(y))
             self.trees.append(self._grow(b[rows], y[rows], rng))
 
