@@ -11,7 +11,7 @@ def words(text: Column) -> Column:
     plain = F.regexp_replace(F.lower(text), r"['’ʼ\p{M}]", "")
     raw = F.filter(F.split(F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
     # a word of one letter carries a mark that lets the next one join it
-    step = lambda a, w: F.when(F.length(w) > 1, F.concat(a, F.lit(" "), w)).when(F.endswith(a, F.lit("\x01")), F.concat(F.rtrim(F.lit("\x01"), a), w, F.lit("\x01"))).otherwise(F.concat(a, F.lit(" "), w, F.lit("\x01")))
+    step = lambda a, w: F.when(F.length(w) > 1, F.concat(a, F.lit(" "), w)).when(F.endswith(a, F.lit("\x01")), F.concat(F.rtrim(a, F.lit("\x01")), w, F.lit("\x01"))).otherwise(F.concat(a, F.lit(" "), w, F.lit("\x01")))
     joined = F.aggregate(raw, F.lit("").cast("string"), step)
     return F.filter(F.split(F.trim(F.replace(joined, F.lit("\x01"), F.lit(""))), " "), lambda w: w != "")
 

@@ -82,7 +82,8 @@ def quantized(spark, d):
 def label_centroids(spark, d):
     """Mean of each label's vectors, one row a place of the vector."""
     v = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
-    return v.groupBy("label", "place").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+    means = v.groupBy("label", "place").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+    return means.withColumn("mean", F.when(F.col("mean") == 0, 0.0).otherwise(F.col("mean")))  # no negative zero
 
 
 def _places(spark, d) -> DataFrame:
@@ -138,7 +139,7 @@ SQL = {
     "unigram_counts": f"WITH {_UNIGRAMS} SELECT word, n FROM u",
     "word_fixes": f"WITH {_UNIGRAMS}, k AS (SELECT * FROM u WHERE length(word) >= 4 AND regexp_matches(word, '^[a-z0-9]+$')) SELECT a.word, b.word AS fix, a.n, b.n AS fix_n FROM k a JOIN k b ON a.word[1] = b.word[1] AND a.n <= 3 AND b.n >= 20 AND b.n >= 20 * a.n AND abs(length(a.word) - length(b.word)) <= 1 WHERE levenshtein(a.word, b.word) = 1",
     "quantized": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x * 127)::INT) AS q FROM embeddings) SELECT vec_id, list_sum(q)::BIGINT AS total, list_sum(list_transform(q, lambda x: x * x))::BIGINT AS squares FROM v",
-    "label_centroids": "WITH v AS (SELECT label, unnest(range(0, len(embedding))) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, place, round(avg(x), 4) AS mean FROM v GROUP BY 1, 2",
+    "label_centroids": "WITH v AS (SELECT label, unnest(range(0, len(embedding))) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, place, round(avg(x), 4) AS mean FROM v GROUP BY 1, 2) SELECT label, place, CASE WHEN mean = 0 THEN 0.0 ELSE mean END AS mean FROM m",
     "haversine": f"WITH {_PLACES} SELECT a.place, b.place AS other, round(2 * 6371.0088 * asin(sqrt(least(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2), 1))), 2) AS km FROM p a JOIN p b ON a.region = b.region AND a.place < b.place",
     "cells": f"WITH {_PLACES}, i AS (SELECT unnest([-1, 0, 1]) AS i), j AS (SELECT unnest([-1, 0, 1]) AS j) SELECT place, (floor(lat * 10) + i)::BIGINT AS cell_y, (((floor(lon * 10)::BIGINT + j + 1800) % 3600 + 3600) % 3600 - 1800)::BIGINT AS cell_x FROM p, i, j",
     "easter_sundays": "WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), a AS (SELECT *, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a), l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h), s AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS s FROM l) SELECT y::INT AS year, (s // 31)::INT AS month, (s % 31 + 1)::INT AS day FROM s",
