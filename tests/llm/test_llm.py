@@ -27,7 +27,7 @@ def test_median_rank_nulls_ties_repeats(spark):
     data = [(1, 10, 5.0, 1.0, "x"), (1, 11, None, 3.0, "x"), (1, 12, 1.0, 3.0, "y"), (1, 12, 2.0, None, "y"), (1, None, 1.0, 1.0, ""), (None, 3, 1.0, 1.0, ""), (2, 7, None, None, "")]
     df = spark.createDataFrame(data, "q int, s int, a double, b double, g string")
     got = {(r.q, r.s): r.place for r in rank_fusion.median_rank(df, "q", "s", {"a": ("low", 1.0), "b": ("high", 1.0)}).collect()}
-    assert got == {(1, 12): 1, (1, 10): 3, (1, 11): 2, (2, 7): 1} or got[1, 12] == 1 and got[2, 7] == 1 and len(got) == 4
+    assert got == {(1, 12): 1, (1, 10): 3, (1, 11): 2, (2, 7): 1}
     assert rank_fusion.median_rank(df.limit(0), "q", "s", {"a": ("low", 1.0)}).count() == 0
 
 
@@ -100,7 +100,7 @@ def test_boilerplate_drops_menus_and_keeps_sentences(spark):
     for h in range(4):
         for p in range(6):
             no += 1
-            text = f"Home | News | Shop {h}\nStory {no} of the mill and the river goes on for long.\n\nShare this page\nOpening times {no}\n© 2020 Host{h}. All rights reserved."
+            text = f"Home | News | Shop {h}\nStory of {chr(96 + no) * 5} and of the mill and the river goes on for long.\n\nShare this page\nOpening times of {chr(96 + no) * 5}\n© 2020 Host{h}. All rights reserved."
             data.append((no, f"host{h}.example", f"https://host{h}.example/{p}", f"Mill {no}", text))
     data += [(900, None, None, None, None), (901, None, None, "T", "One line only."), (902, "z.example", "u", "T", "")]
     df = spark.createDataFrame(data, "page_id long, domain string, url string, title string, text string")
