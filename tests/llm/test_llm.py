@@ -109,6 +109,20 @@ def test_boilerplate_drops_menus_and_keeps_sentences(spark):
     assert boilerplate.main_lines(df.limit(0), []).count() == 0
 
 
+def test_boilerplate_drops_rare_blocks_of_one_class(spark):
+    data, order = [], random.Random(5)
+    for p in range(20):
+        lines = ["Home | News | Shop", f"Story of {chr(97 + p) * 5} and of the mill and the river goes on for long."]
+        lines += ["River gauge today", "Ferry timetable", "Harbour webcam"] if p < 4 else []
+        lines += order.sample(["Bring warm boots", "Dogs on a lead"], 2) if p in (3, 5, 7, 9) else []
+        lines += ["Mind the step"] if p in (1, 6, 11, 16) else []
+        data.append((p, "host.example", f"https://host.example/{p}", f"Mill {p}", "\n".join([*lines, "Terms of use"])))
+    df = spark.createDataFrame(data, "page_id long, domain string, url string, title string, text string")
+    got = {(r.page_id, r.line_no): r.main for r in boilerplate.main_lines(df, []).collect()}
+    assert not any(got[0, n] for n in (1, 3, 4, 5, 6)) and not got[3, 4]
+    assert got[0, 2] and got[16, 3] and got[5, 3] and got[5, 4] and got[1, 6]
+
+
 def test_stuffed_texts(spark):
     spam = ["cheap sofa, buy sofa, best sofa, sofa sale, online sofa, top sofa", "http://a.example/x http://b.example/x http://c.example/x http://d.example/x", "#sofabuy #sofasale #sofatop #sofa24h #sofabest", "shoes size 41 shoes size 42 shoes size 43 shoes size 44 shoes size 45"]
     fine = ["We repair chairs, sofas, tables, clocks and lamps, and we collect them from your home.", "Velmora", "The village library sells bread to people who live nearby.", "Home | Shoes | Contact", None, " "]

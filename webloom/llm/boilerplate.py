@@ -16,6 +16,10 @@ from webloom.sources.tables import table
 SUPPORT = 0.4
 #: Least number of hosts that share a line which no host's own pages prove.
 HOSTS = 3
+#: Least number of pages of an equivalence class of several forms.
+REPEATS = 3
+#: Greatest expected number of pairs of forms that share an occurrence vector by chance.
+CHANCE = 0.05
 
 _SCHEMA = "page_id long, domain string, page long, line_no long, form long, shape long, head long, sentence boolean, kept boolean, crumbs array<long>"
 
@@ -62,13 +66,44 @@ def _line_rows(phrases: list[str]):
     return run
 
 
+def template_classes(lines: DataFrame) -> DataFrame:
+    """domain, form: the members of each host's valid equivalence classes of two or more forms.
+
+    lines: page_id, domain, page, line_no, form. Forms share a class where they are found equally often on exactly the same pages
+    (kept as count and sum of hashes, so a host may have any number of pages). A class is valid where it is on REPEATS pages
+    or more, too many for chance (CHANCE), its members come in the same order on each page, and it nests: all of it lies
+    in one slot between the members of the host's widest class, the same one on each page. One reading of each page counts.
+    """
+    once = lines.join(lines.groupBy("domain", "page").agg(F.min("page_id").alias("page_id")), ["domain", "page", "page_id"], "left_semi")
+    places = keep(once.groupBy("domain", "page", "form").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("times")))
+    tokens = places.groupBy("domain", "form").agg(F.count("*").alias("s"), F.sum((F.xxhash64("page", "times") / 2**20).cast("long")).alias("vector"))
+    classes = tokens.groupBy("domain", "vector", "s").agg(F.count("*").alias("size"))
+    widest = classes.groupBy("domain").agg(F.max(F.struct("s", "size", "vector")).alias("w"))
+    # m forms on s of n pages give m (m - 1) / 2 pairs, each alike by chance once in (n over s) >= (n / s)^s
+    rivals = tokens.groupBy("domain", "s").agg(F.count("*").alias("m")).join(places.groupBy("domain").agg(F.countDistinct("page").alias("n")), "domain")
+    chance = F.col("m") * (F.col("m") - 1) / 2 * F.exp(F.col("s") * F.log(F.col("s") / F.col("n")))
+    asked = classes.join(rivals, ["domain", "s"]).join(widest, "domain").withColumn("root", (F.col("vector") == F.col("w.vector")) & (F.col("s") == F.col("w.s")))
+    asked = asked.filter((F.col("size") > 1) & (F.col("s") >= REPEATS) & (F.col("root") | (chance <= CHANCE))).select("domain", "vector", "s", "root")
+    # as long as one page: the places of the widest class, and the members of each class in order
+    frame = places.join(tokens.join(widest, "domain").filter("vector = w.vector and s = w.s").select("domain", "form"), ["domain", "form"])
+    frame = frame.groupBy("domain", "page").agg(F.collect_list("first").alias("frame"))
+    member = places.join(tokens, ["domain", "form"]).join(asked, ["domain", "vector", "s"])
+    runs = member.groupBy("domain", "vector", "s", "root", "page").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("first", "form"))), lambda x: x.form)).alias("order"))
+    runs = runs.join(frame, ["domain", "page"], "left")
+    before = lambda at: F.size(F.filter("frame", lambda x: x < F.col(at)))
+    slot, end = before("first"), before("last")
+    runs = runs.groupBy("domain", "vector", "s", "root").agg(F.countDistinct("order").alias("orders"), F.countDistinct(F.when(F.col("frame").isNotNull(), slot)).alias("slots"), F.max(F.coalesce(slot != end, F.lit(False))).alias("split"))
+    nested = runs.filter((F.col("orders") == 1) & (F.col("root") | (F.col("slots") <= 1) & ~F.col("split"))).select("domain", "vector", "s")
+    return tokens.join(nested, ["domain", "vector", "s"], "left_semi").select("domain", "form")
+
+
 def main_lines(pages: DataFrame, phrases: list[str]) -> DataFrame:
     """page_id, line_no, main: each line of text that isn't blank, and whether it is the page's own content.
 
-    Lines become tokens: forms with numbers and the host's name masked. (1) For each host, forms found on exactly
-    the same pages (equal occurrence vectors, kept as count and sum of page hashes, so a host may have any number of
-    pages) make an equivalence class; a class on at least SUPPORT of the pages of the host's widest class is valid and nests
-    into the host's template. Where hosts share a form, their votes are summed. (2) The slots that remain are
+    Lines become tokens: forms with numbers and the host's name masked. (1) For each host, forms found equally often on exactly
+    the same pages (equal occurrence vectors) make an equivalence class; those of several forms are valid by order and nesting,
+    whatever part of the pages they are on (see template_classes). A form on at least SUPPORT of the pages of the host's
+    widest class is of the template too, be it alone in its class. Where hosts share a form, their votes are summed. (2) The slots that remain are
     searched for lines that fill slots of many templates alike: forms short of a sentence, shared by HOSTS hosts, that
     are neither headings (some page's title) nor known content. (3) Paths, all of whose steps but the last are
     entries of templates' menus, go too. The rest is main. phrases: known content (a fixed, small list), kept whatever its form.
@@ -85,13 +120,13 @@ def main_lines(pages: DataFrame, phrases: list[str]) -> DataFrame:
     seen = lines.select("domain", "page", "form", "shape", "head", "sentence", "kept").distinct()
     body = seen.filter("not kept").join(heads, "head", "left_anti")
     per_host = keep(body.groupBy("domain", "form", "shape", "sentence").agg(F.countDistinct("page").alias("s"), F.sum((F.xxhash64("page") / 2**20).cast("long")).alias("vector")))
-    classes = per_host.groupBy("domain", "vector", "s").agg(F.count("*").alias("size"))
-    root = classes.groupBy("domain").agg(F.max("s").alias("n"))
+    root = per_host.groupBy("domain").agg(F.max("s").alias("n"))
     pages_n = lines.groupBy("domain").agg(F.countDistinct("page").alias("pages"))
     root = root.join(pages_n, "domain").select("domain", F.greatest("n", F.ceil(F.col("pages") / 2)).alias("n"))
     votes = per_host.join(root, "domain")
     valid = votes.groupBy("form").agg((F.sum("s") / F.sum("n")).alias("share"), F.sum("s").alias("s")).filter((F.col("share") >= SUPPORT) & (F.col("s") >= 2)).select("form")
-    own = votes.filter(~F.col("sentence") & (F.col("s") >= 3) & (F.col("s") / F.col("n") >= 0.5)).select("domain", "form").distinct()
+    own = votes.filter(~F.col("sentence") & (F.col("s") >= 3) & (F.col("s") / F.col("n") >= 0.5)).select("domain", "form")
+    own = own.union(template_classes(lines.filter("not kept").join(heads, "head", "left_anti"))).distinct()
     shared = per_host.filter("not sentence").groupBy("shape").agg(F.countDistinct("domain").alias("hosts")).filter(F.col("hosts") >= HOSTS).select("shape")
     valid, own, shared = keep(valid), keep(own), keep(shared)
     rest = lines.join(heads.withColumn("_h", F.lit(True)), "head", "left").filter("not kept and _h is null")
