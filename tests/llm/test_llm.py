@@ -123,6 +123,19 @@ def test_boilerplate_drops_rare_blocks_of_one_class(spark):
     assert got[0, 2] and got[16, 3] and got[5, 3] and got[5, 4] and got[1, 6]
 
 
+def test_boilerplate_keeps_recurring_facts_of_the_body(spark):
+    data = []
+    for n in range(48):
+        word = lambda k: "".join(chr(97 + int(c)) for c in str(1000 + 10 * n + k)) * 2
+        say = lambda k: f"Story of {word(k)} and of the mill and the river goes on for long."
+        fact, box = ["Moorings: 12 boats"] * (n % 4 == 0), ["Follow our kite"] * (n % 4 == 0)
+        data.append((n, f"host{n // 4}.example", f"https://{n}.example/", "T", "\n".join(["Home | News | Shop", *box, say(1), *fact, say(2)])))
+    df = spark.createDataFrame(data, "page_id long, domain string, url string, title string, text string")
+    got = {(r.page_id, r.line_no): r.main for r in boilerplate.main_lines(df).collect()}
+    assert all(got[n, 4] and not got[n, 2] and not got[n, 1] for n in range(0, 48, 4))
+    assert boilerplate.line_form("Les écoles de Paris", "x")[1] == "les écoles de x"
+
+
 def test_stuffed_texts(spark):
     spam = ["cheap sofa, buy sofa, best sofa, sofa sale, online sofa, top sofa", "http://a.example/x http://b.example/x http://c.example/x http://d.example/x", "#sofabuy #sofasale #sofatop #sofa24h #sofabest", "shoes size 41 shoes size 42 shoes size 43 shoes size 44 shoes size 45"]
     fine = ["We repair chairs, sofas, tables, clocks and lamps, and we collect them from your home.", "Velmora", "The village library sells bread to people who live nearby.", "Home | Shoes | Contact", None, " "]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.residue import page_residue
@@ -16,6 +16,8 @@ from webloom.sources.tables import table
 SUPPORT = 0.4
 #: Least number of hosts that share a line which no host's own pages prove.
 HOSTS = 3
+#: Least part of such a line's occurrences that are loose, that is, not straight after a sentence of a page's body with more of it to come.
+LOOSE = 0.45
 #: Least number of pages of an equivalence class of several forms.
 REPEATS = 3
 #: Greatest expected number of pairs of forms that share an occurrence vector by chance.
@@ -38,7 +40,7 @@ def line_form(line: str, host: str) -> tuple[str, str]:
         if len(letters) >= 4 and letters in host:
             words[i] = re.sub("[A-Za-z]+", "~", w)
     form = " ".join(words).replace("~ ~", "~")
-    shape = form if form.isupper() else " ".join(re.sub(r"^[^\W\d_a-z][^\W\d_]*", "X", w) if i else w for i, w in enumerate(form.split()))
+    shape = form if form.isupper() else " ".join(re.sub(r"^[^\W\d_]+", "X", w) if i and w[0].isupper() else w for i, w in enumerate(form.split()))
     return form.lower(), shape.replace("X X", "X").lower()
 
 
@@ -97,7 +99,7 @@ def template_classes(lines: DataFrame) -> DataFrame:
     return tokens.join(nested, ["domain", "vector", "s"], "left_semi").select("domain", "form")
 
 
-def main_lines(pages: DataFrame, phrases: list[str]) -> DataFrame:
+def main_lines(pages: DataFrame, phrases: list[str] = []) -> DataFrame:
     """page_id, line_no, main: each line of text that isn't blank, and whether it is the page's own content.
 
     Lines become tokens: forms with numbers and the host's name masked. (1) For each host, forms found equally often on exactly
@@ -105,8 +107,10 @@ def main_lines(pages: DataFrame, phrases: list[str]) -> DataFrame:
     whatever part of the pages they are on (see template_classes). A form on at least SUPPORT of the pages of the host's
     widest class is of the template too, be it alone in its class. Where hosts share a form, their votes are summed. (2) The slots that remain are
     searched for lines that fill slots of many templates alike: forms short of a sentence, shared by HOSTS hosts, that
-    are neither headings (some page's title) nor known content. (3) Paths, all of whose steps but the last are
-    entries of templates' menus, go too. The rest is main. phrases: known content (a fixed, small list), kept whatever its form.
+    are no headings (some page's title), and of whose occurrences on all pages LOOSE and more lie outside the body's slot or
+    beside its text: before or after the sentences that no template has, or not straight after one. A page's short facts and list items
+    stand within its body, menus and side boxes anywhere. (3) Paths, all of whose steps but the last are
+    entries of templates' menus, go too. The rest is main. phrases: content known to the caller, kept whatever its form; the queries name none.
     Repeated readings of a page (equal host and address, or equal host and text) vote once. Pages of null id or text give
     nothing; a null host counts as one host.
     """
@@ -127,11 +131,19 @@ def main_lines(pages: DataFrame, phrases: list[str]) -> DataFrame:
     valid = votes.groupBy("form").agg((F.sum("s") / F.sum("n")).alias("share"), F.sum("s").alias("s")).filter((F.col("share") >= SUPPORT) & (F.col("s") >= 2)).select("form")
     own = votes.filter(~F.col("sentence") & (F.col("s") >= 3) & (F.col("s") / F.col("n") >= 0.5)).select("domain", "form")
     own = own.union(template_classes(lines.filter("not kept").join(heads, "head", "left_anti"))).distinct()
-    shared = per_host.filter("not sentence").groupBy("shape").agg(F.countDistinct("domain").alias("hosts")).filter(F.col("hosts") >= HOSTS).select("shape")
-    valid, own, shared = keep(valid), keep(own), keep(shared)
-    rest = lines.join(heads.withColumn("_h", F.lit(True)), "head", "left").filter("not kept and _h is null")
-    flagged = rest.join(valid.withColumn("_v", F.lit(True)), "form", "left").join(own.withColumn("_o", F.lit(True)), ["domain", "form"], "left").join(shared.withColumn("_s", F.lit(True)), "shape", "left")
-    flagged = keep(flagged.select("page_id", "domain", "line_no", "crumbs", (F.col("_v").isNotNull() | F.col("_o").isNotNull() | (F.col("_s").isNotNull() & ~F.col("sentence"))).alias("template")))
+    valid, own = keep(valid), keep(own)
+    marked = lines.join(heads.withColumn("_h", F.lit(True)), "head", "left").join(valid.withColumn("_v", F.lit(True)), "form", "left").join(own.withColumn("_o", F.lit(True)), ["domain", "form"], "left")
+    marked = marked.withColumn("free", ~F.col("kept") & F.col("_h").isNull()).withColumn("fixed", F.col("free") & (F.col("_v").isNotNull() | F.col("_o").isNotNull()))
+    body = F.when(F.col("sentence") & ~F.col("fixed"), F.col("line_no"))
+    page = Window.partitionBy("page_id")  # as long as one page
+    inside = (F.max(body).over(page) > F.col("line_no")) & F.lag(body).over(page.orderBy("line_no")).isNotNull()
+    marked = keep(marked.select("page_id", "domain", "line_no", "shape", "sentence", "crumbs", "free", "fixed", (F.col("free") & F.col("_v").isNotNull()).alias("voted"), (F.col("fixed") | ~F.coalesce(inside, F.lit(False))).alias("loose")))
+    shared = marked.filter("free and not sentence").groupBy("shape").agg(F.countDistinct("domain").alias("hosts"), F.avg(F.col("loose").cast("int")).alias("part"))
+    shared = shared.filter(F.col("hosts") >= HOSTS).select("shape", (F.col("part") >= LOOSE).alias("_s"))
+    flagged = marked.filter("free").join(shared, "shape", "left")
+    # what stands within the body on all hosts' pages is no template of the one host that repeats it
+    template = F.col("voted") | F.when(F.col("sentence"), F.col("fixed")).otherwise(F.coalesce("_s", "fixed"))
+    flagged = keep(flagged.select("page_id", "domain", "line_no", "crumbs", template.alias("template")))
     menu = flagged.filter("template").select("domain", F.explode("crumbs").alias("crumb")).groupBy("crumb").agg(F.countDistinct("domain").alias("hosts")).filter(F.col("hosts") >= HOSTS).select("crumb")
     paths = flagged.filter(~F.col("template") & (F.size("crumbs") > 1)).select("page_id", "line_no", F.explode(F.slice("crumbs", F.lit(1), F.size("crumbs") - 1)).alias("crumb"))
     paths = paths.join(menu.withColumn("_m", F.lit(1)), "crumb", "left").groupBy("page_id", "line_no").agg(F.count("*").alias("all"), F.count("_m").alias("known")).filter("all = known")
@@ -144,16 +156,10 @@ def _title_hash(batches):
         yield pd.DataFrame({"head": pd.Series([_hash(x) for x in pdf["x"]], dtype="int64")})
 
 
-def known_phrases(fixtures: DataFrame) -> list[str]:
-    """Phrases that kept text must hold, of the fixed table of fixtures (60 rows): those that stand for a whole short line."""
-    rows = fixtures.select(F.explode("must_keep").alias("p")).distinct().collect()
-    return sorted(r.p for r in rows if r.p and re.search(r"[A-Z0-9]", r.p[0]) and (re.search(r"\d", r.p) or len(r.p.split()) >= 3))
-
-
 def p4_found(spark, d):
     """Lines of read_pages.text that aren't main content; pages that are residue are left out."""
     pages = table(spark, d, "read_pages")
-    lines = main_lines(pages, known_phrases(table(spark, d, "boilerplate_fixtures")))
+    lines = main_lines(pages)
     residue = page_residue(pages).select(F.col("rec_id").alias("page_id"))
     return lines.filter("not main").join(residue, "page_id", "left_anti").select("page_id", "line_no")
 
@@ -161,7 +167,7 @@ def p4_found(spark, d):
 def p4_main_text(spark, d):
     """The main text of each page."""
     pages = table(spark, d, "read_pages")
-    lines = main_lines(pages, known_phrases(table(spark, d, "boilerplate_fixtures"))).filter("main").select("page_id", "line_no")
+    lines = main_lines(pages).filter("main").select("page_id", "line_no")
     numbers = lines.groupBy("page_id").agg(F.array_sort(F.collect_list("line_no")).alias("nos"))  # as long as one text
     cut = pages.join(numbers, "page_id")
     text = F.array_join(F.transform("nos", lambda n: F.element_at(F.split("text", "\n"), n.cast("int"))), "\n")
