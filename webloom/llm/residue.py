@@ -54,11 +54,32 @@ def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}&&[^぀-ヿ一-鿿]]{2,}")) + F.ceil(kana)
 
 
-# Literals of which every placeholder, and one of which every phrase above, holds at least one.
+# Literals of which every placeholder, and one of which every phrase above that BARE doesn't find, holds at least one.
 LITERALS = """{ [ < % __ @@ &lt; script skript скрипт スクリプト browser cookies human without until loading nothing error http fehler erreur código code not&found forbidden unauthori gateway upstream server service available denied
 zugriff accès acceso seite page página pagina strony strona страница ページ contenido errore ошибка file directory requested oops sorry wrong expired suspended hosting session sign&in many&requests blocked reference connection sqlstate no&such
-traceback fatal warning notice index&of back&soon maintenance construction coming&soon lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi commodo consequat duis aute irure velit esse cillum fugiat nulla pariatur sint
-text test asdf qwer xxx untitled undefined null nan object heading new&page company slogan firmenname título titulo descripción descripcion your&title your&tagline your&text your&description insert enter description characters something new&website new&site new&blog edit another default working works""".split()
+traceback fatal warning notice index&of back&soon maintenance construction coming&soon lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure velit esse cillum fugiat nulla pariatur sint
+text test moment replace asdf qwer xxx untitled undefined null nan object heading new&page company slogan firmenname título titulo descripción descripcion your&title your&tagline your&text your&description insert enter description characters something new&website new&site new&blog edit another default working works""".split()
+
+
+# What phrases without a literal hold: a status code before a dash, colon or bar; short words of filler.
+BARE = re.compile(r"\d\s+[-–:|]|(?<![^\W_])(?:sed|esse)(?![^\W_])")
+
+
+def literals():
+    """An automaton that finds LITERALS."""
+    import ahocorasick
+
+    words = ahocorasick.Automaton()
+    for w in LITERALS:
+        words.add_word(w.replace("&", " "), True)
+    words.make_automaton()
+    return words
+
+
+def may_match(text: str, words) -> bool:
+    """Whether a text may hold a placeholder or a phrase. words: the automaton of literals."""
+    plain = " ".join(text.lower().split())
+    return next(words.iter(plain), None) is not None or BARE.search(plain) is not None
 
 
 def masked(text: str, source: str) -> str:
@@ -79,16 +100,11 @@ _PLACEHOLDER = re.compile(PLACEHOLDER.replace(r"\p{L}\d_.", r"\w.").replace(r"[\
 
 @F.pandas_udf(StringType())
 def _masked(texts: pd.Series, sources: pd.Series) -> pd.Series:
-    """The masked form of a text that holds one of LITERALS, else null: only such texts can match."""
-    import ahocorasick
-
-    words = ahocorasick.Automaton()
-    for w in LITERALS:
-        words.add_word(w.replace("&", " "), True)
-    words.make_automaton()
+    """The masked form of a text that may match, else null."""
+    words = literals()
     out = []
     for text, source in zip(texts, sources):
-        hint = isinstance(text, str) and next(words.iter(" ".join(text.lower().split())), None) is not None
+        hint = isinstance(text, str) and may_match(text, words)
         out.append(masked(text, re.sub("[^a-z]", "", (source or "").lower())) if hint else None)
     return pd.Series(out, dtype=object)
 
@@ -99,7 +115,7 @@ def messages(units: DataFrame, text: str, source: str) -> DataFrame:
     Units are masked and grouped by the exact hash of the masked form over all sources. A form is residue where
     known phrases, filler words and placeholders make up nearly all of it, or half of it if the form recurs
     in at least WIDE sources. A placeholder in a text that speaks of placeholders isn't unfilled. A null or blank text is
-    neither. No unit is skipped: those without any of LITERALS can match no pattern.
+    neither. No unit is skipped: those without any of LITERALS and BARE can match no pattern.
     """
     t = F.col(text)
     edge = lambda p: rf"(?<![\p{{L}}\d])(?:{p})(?![\p{{L}}\d])"
