@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -164,14 +165,89 @@ def p4_found(spark, d):
     return lines.filter("not main").join(residue, "page_id", "left_anti").select("page_id", "line_no")
 
 
-def p4_main_text(spark, d):
-    """The main text of each page."""
-    pages = table(spark, d, "read_pages")
-    lines = main_lines(pages).filter("main").select("page_id", "line_no")
+class _Blocks(HTMLParser):
+    """Lines of a page's blocks, links in Markdown; which of them lie in closed menus, side boxes and buttons."""
+
+    INLINE = frozenset("a abbr b bdi cite code em font i kbd mark q s small span strong sub sup time u wbr img".split())
+    CHROME = frozenset("nav aside footer button form".split())
+    SKIP = frozenset("script style template head".split())
+
+    def __init__(self, html: str):
+        super().__init__()
+        count = lambda tag: (len(re.findall(rf"<{tag}\b", html, re.I)), len(re.findall(rf"</{tag}\b", html, re.I)))
+        self.closed = {t for t in self.CHROME | self.SKIP if count(t)[0] <= count(t)[1]}  # one left open would take in the rest
+        self.lines, self.text, self.open, self.href = [], [], [], None
+        self.feed(re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html))
+        self.close()
+        self._end()
+
+    def _end(self):
+        if line := " ".join("".join(self.text).split()):
+            self.lines.append((line, any(t in self.CHROME for t in self.open)))
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.href = dict(attrs).get("href")
+            self.text.append("[" if self.href else "")
+        elif tag not in self.INLINE:
+            self._end()
+            self.text.append("#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "* " if tag == "li" else "")
+            if tag in self.closed:
+                self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self.href:
+            self.text.append(f"]({self.href})")
+            self.href = None
+        elif tag not in self.INLINE:
+            self._end()
+            if tag in self.open:
+                del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not any(t in self.SKIP for t in self.open):
+            self.text.append(data.replace("\n", " "))
+
+
+def html_lines(html: str) -> list[tuple[str, bool]]:
+    """Each line of text of an HTML page, and whether its tags alone tell that it isn't main text."""
+    return [(line, chrome) for line, chrome in _Blocks(html).lines if re.search(r"\w", line)]
+
+
+def _read(batches):
+    for pdf in batches:
+        out = []
+        for id_, url, html in zip(pdf["id"], pdf["url"], pdf["html"]):
+            lines = html_lines(html)
+            host = re.sub(r"^\w+://|[/:?#].*$", "", url or "")
+            out.append((id_, url, host, "\n".join(x for x, _ in lines), [i for i, (_, chrome) in enumerate(lines, 1) if chrome]))
+        yield pd.DataFrame(out, columns=["id", "url", "domain", "text", "chrome"])
+
+
+def _main_text(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """texts with main_text: their lines that are main, in order."""
     numbers = lines.groupBy("page_id").agg(F.array_sort(F.collect_list("line_no")).alias("nos"))  # as long as one text
-    cut = pages.join(numbers, "page_id")
     text = F.array_join(F.transform("nos", lambda n: F.element_at(F.split("text", "\n"), n.cast("int"))), "\n")
-    return cut.select("page_id", text.alias("main_text"))
+    return texts.join(numbers, "page_id").withColumn("main_text", text)
+
+
+def fixture_text(pages: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """id, main_text of fixtures (id, url, html), whose lines are judged together with those of pages."""
+    read = fixtures.filter("id is not null and html is not null").select("id", "url", "html")
+    read = keep(read.mapInPandas(_read, "id string, url string, domain string, text string, chrome array<int>").withColumn("page_id", F.xxhash64("id")).withColumn("title", F.lit(None).cast("string")))
+    names = ["page_id", "domain", "url", "title", "text"]
+    lines = main_lines(pages.select(*names).union(read.select(*names))).filter("main").select("page_id", "line_no")
+    lines = lines.join(read.select("page_id", "chrome"), "page_id").filter("not array_contains(chrome, cast(line_no as int))")
+    return _main_text(read, lines).select("id", "main_text")
+
+
+def p4_main_text(spark, d):
+    """The main text of each page (page_id) and of each HTML fixture (fixture_id)."""
+    pages = table(spark, d, "read_pages")
+    read = _main_text(pages, main_lines(pages).filter("main").select("page_id", "line_no")).select("page_id", F.lit(None).cast("string").alias("fixture_id"), "main_text")
+    fixtures = fixture_text(pages, table(spark, d, "boilerplate_fixtures"))
+    return read.union(fixtures.select(F.lit(None).cast("long"), "id", "main_text"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_main_text": p4_main_text}
