@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.residue import homepage_residue
-from webloom.llm.stuffing import stuffed
+from webloom.llm.stuffing import p5_found
 from webloom.sources.tables import table
 
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru", "ja")
@@ -272,8 +272,8 @@ def p6_found(spark, d):
     pages = _homepages(spark, d)
     models = _models(spark, d, pages)
     meta = table(spark, d, "homepage_meta").filter("meta_id is not null")
-    spam = stuffed(meta.select(F.col("meta_id").alias("key"), F.col("domain").alias("host"), F.explode(F.array("title", "description")).alias("text"), F.lit(None).cast("long").alias("linkers")))
-    out = homepage_residue(meta).select(F.col("rec_id").alias("id")).union(spam.select(F.col("key").alias("id"))).distinct()
+    spam = p5_found(spark, d).filter("src = 'homepage_meta'")
+    out = homepage_residue(meta).select(F.col("rec_id").alias("id")).union(spam.select(F.col("rec_id").alias("id"))).distinct()
     asked = pages.filter(F.length("description") >= 30).join(out, "id", "left_anti")
     told = languages(asked, models).filter(F.col("sentence") & F.col("lang").isNotNull() & (F.col("confidence") >= SURE)).select("id", "lang").distinct()
     sets = told.groupBy("id").agg(F.collect_set("lang").alias("langs"))  # at most one of each language
