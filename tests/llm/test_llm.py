@@ -163,38 +163,38 @@ def test_same_question():
     assert all(split_overlap.same_question(*p) for p in same) and not any(split_overlap.same_question(*p) for p in other)
 
 
-def test_cosine_join_equals_brute_force(spark):
+def _rows_of_words(spark, data):
+    return spark.createDataFrame([(i, s, "", t.split()) for i, s, t in data], "id long, side int, block string, words array<string>")
+
+
+def test_cosine_join_equals_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     words = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
     data = [(i, i % 2, " ".join(rng.sample(words, 4))) for i in range(120)]
     data += [(1000 + i, 1 - s, t[1:]) for i, s, t in data[:30]] + [(5000, 0, "")]
-    df = spark.createDataFrame(data, "id long, side int, text string")
-    got = {(r.a, r.b): r.cosine for r in split_overlap.cosine_join(df, 0.5).collect()}
-    n, docs = len(data), {}
-    for i, s, t in data:
-        c = {}
-        for w in t.split():
-            m = f"^{w}$"
-            for j in range(max(len(m) - 3, 1)):
-                c[m[j : j + 4]] = c.get(m[j : j + 4], 0) + 1
-        docs[i] = (s, c)
-    df_ = {}
-    for _, c in docs.values():
-        for g in c:
-            df_[g] = df_.get(g, 0) + 1
-    unit = {}
-    for i, (s, c) in docs.items():
-        w = {g: k * np.log1p(n / df_[g]) for g, k in c.items()}
-        norm = np.sqrt(sum(x * x for x in w.values())) or 1
-        unit[i] = {g: x / norm for g, x in w.items()}
-    want = {}
-    for a, (s, _) in docs.items():
-        for b, (r, _) in docs.items():
-            if s == 0 and r == 1:
-                v = sum(x * unit[b].get(g, 0) for g, x in unit[a].items())
-                if v >= 0.5:
+    vectors = split_overlap.keep(split_overlap.term_vectors(_rows_of_words(spark, data)))
+    unit = {r.id: (r.side, {e.term: e.w for e in r.v}) for r in vectors.collect()}
+    assert all(abs(sum(w * w for w in v.values()) - 1) < 1e-9 for _, v in unit.values()) and len(unit) == 150
+    for least, block in ((0.5, 2048), (0.12, 3)):
+        monkeypatch.setattr(split_overlap, "BLOCK", block)
+        got = {(r.a, r.b): r.cosine for r in split_overlap.cosine_join(vectors, least).collect()}
+        want = {}
+        for a, (s, x) in unit.items():
+            for b, (r, y) in unit.items():
+                if s == 0 and r == 1 and (v := sum(w * y.get(t, 0) for t, w in x.items())) >= least:
                     want[a, b] = v
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert split_overlap.cosine_join(vectors.limit(0), 0.5).count() == 0
+
+
+def test_slips_leave_common_terms(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+    noise = [(100 + i, i % 2, f"{name()} {name()} opening hours") for i in range(2000)]
+    pairs = ["velmora tegisu opening hours|vlemora teigsu opening hours", "velmora tegisu opening hours|velmorategisu hours opening", "kodaru opening hours|kodaru opening hours please"]
+    data = noise + [(k * 2 + s, s, x) for k, p in enumerate(pairs) for s, x in enumerate(p.split("|"))]
+    got = {(r.a, r.b) for r in split_overlap.cosine_join(split_overlap.term_vectors(_rows_of_words(spark, data)), split_overlap.COSINE).collect()}
+    assert {(0, 1), (0, 3), (2, 3), (4, 5)} <= got
 
 
 def test_plan_is_a_whole_packing():

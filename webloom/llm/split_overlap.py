@@ -6,19 +6,21 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from webloom.plans.lineage import keep
 from webloom.sources.tables import table
 
-#: Least cosine of a candidate pair.
-COSINE = 0.53
-#: Letters of a term.
-GRAM = 4
+#: Least cosine of a candidate pair: two of its two names may hold a slip each.
+COSINE = 0.12
+#: Part of its weight that a word has by itself, part that neighbours written together have, and part of all rows up to which a word is rare.
+OWN, JOINED, RARE = 0.63, 0.5, 0.005
+#: Rows of one block of a term's list.
+BLOCK = 2048
 
-# Small words that may be missing on one side.
+# Small words that may be missing on one side.
 SMALL = set("""a an the of for in on at to by and or is are was my me i you it its do does please today info now online quickly quick fast just also here there official about near best free really thanks hi hello again still only new again soon
 der die das und bitte heute jetzt hier online le la les de des et ici svp el los las y por favor hoy aqui il lo gli e oggi per favore het een en vandaag""".split())
 
@@ -92,40 +94,67 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_question(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def cosine_join(forms: DataFrame, least: float) -> DataFrame:
+def _terms(words: Column) -> Column:
+    """Terms (term, w) of a row's words, structs of word, u (weight) and rare, in order.
+
+    A word is a term of OWN of its weight. A rare word of four letters and more shares the rest out among what it is without one
+    of its letters, so that a slip leaves common terms; neighbours written together are a term of JOINED of their mean weight.
+    """
+    entry = lambda term, w: F.struct(term.alias("term"), w.alias("w"))
+    less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x["word"])), lambda i: F.concat(F.substring(x["word"], F.lit(1), i - 1), F.substring(x["word"], i + 1, F.length(x["word"]))))
+    forms = lambda x: F.concat(F.array(entry(x["word"], OWN * x["u"])), F.transform(F.filter(less(x), lambda _: x["rare"] & (F.length(x["word"]) >= 4)), lambda t: entry(t, x["u"] * F.sqrt((1 - OWN * OWN) / F.length(x["word"])))))
+    pair = lambda i: entry(F.concat(F.get(words, i)["word"], F.get(words, i + 1)["word"]), JOINED * F.sqrt(F.get(words, i)["u"] * F.get(words, i + 1)["u"]))
+    pairs = F.transform(F.filter(F.sequence(F.lit(-1), F.size(words) - 2), lambda i: i >= 0), pair)
+    return F.concat(F.flatten(F.transform(words, forms)), pairs)
+
+
+def term_vectors(forms: DataFrame) -> DataFrame:
+    """id, side, v: the unit vector of each row of (id, side, block, words) as structs (df, term, w), rarest term first.
+
+    Weights are squared inverse document frequencies over all rows, so that common words hardly count, whatever the number of
+    rows; rows of other blocks have no term in common. Rows without words are left out.
+    """
+    places = forms.select("id", "side", "block", F.posexplode("words").alias("at", "word"))
+    n = forms.count()
+    df = places.groupBy("word").agg(F.count_distinct("id").alias("df"))
+    u = F.pow(F.log1p(F.lit(float(n)) / F.col("df")), F.lit(2.0))
+    weighed = places.join(df, "word").select("id", "side", "block", "at", "word", u.alias("u"), (F.col("df") <= F.greatest(F.lit(RARE * n), F.lit(1.0))).alias("rare"))
+    rows = weighed.groupBy("id", "side", "block").agg(F.array_sort(F.collect_list(F.struct("at", "word", "u", "rare"))).alias("words"))  # as long as one text
+    counts = rows.select("id", "side", "block", F.explode(_terms(F.col("words"))).alias("e"))
+    counts = keep(counts.groupBy("id", "side", F.concat_ws("|", "block", "e.term").alias("term")).agg(F.sum("e.w").alias("w")))
+    counts = counts.join(counts.groupBy("term").agg(F.count("*").alias("df")), "term")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
+    vectors = counts.groupBy("id", "side").agg(F.collect_list(F.struct("df", "term", "w")).alias("v")).withColumn("n", norm)
+    return vectors.select("id", "side", F.array_sort(F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("n")).alias("w")))).alias("v"))
+
+
+def cosine_join(vectors: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, cosine) of cosine `least` and more between the rows of side 0 (a) and of side 1 (b).
 
-    forms: id (any distinct long per row), side, text (blank-separated tokens). Terms are letter groups inside words, weighted by
-    count and inverse document frequency over both sides, and vectors have length 1. Each vector is indexed by its
-    rarest terms only, up to where the rest can no longer reach `least`: its rest is bounded by its norm, and by
+    vectors: id (any distinct long per row), side, v (structs df, term, w, sorted; weights above 0, length 1). Each vector is
+    indexed by its rarest terms only, up to where the rest can no longer reach `least`: its rest is bounded by its norm, and by
     the sum of its weights times the largest weight of each term on the other side. Two vectors of a pair share an
     indexed term. What they share there, plus the bound of the rest, prunes; the remaining pairs get the exact dot
-    product. Nothing else is left out. An empty side or a row without terms has no pairs.
+    product. Nothing else is left out. A term's list of more than BLOCK rows is met in blocks. An empty side or a row without
+    terms has no pairs.
     """
-    padded = F.transform(F.split("text", " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
-    grams = F.flatten(F.transform(padded, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (GRAM - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(GRAM)))))
-    counts = keep(forms.filter("text <> ''").select("id", "side", F.explode(grams).alias("term")).groupBy("id", "side", "term").agg(F.count("*").alias("tf")))
-    n = forms.count()
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = counts.join(df, "term").withColumn("w", F.col("tf") * F.log1p(F.lit(float(n)) / F.col("df")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    vectors = weighed.groupBy("id", "side").agg(F.collect_list(F.struct("df", "term", "w")).alias("v"))  # as long as one text
-    vectors = keep(vectors.withColumn("n", norm).select("id", "side", F.array_sort(F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("n")).alias("w")))).alias("v")))
+    vectors = keep(vectors)
     entries = vectors.select("id", "side", F.explode("v").alias("e")).select("id", "side", "e.*")
     most = entries.groupBy("term", (1 - F.col("side")).alias("side")).agg(F.max("w").alias("m"))  # of the other side
     bounded = entries.join(most, ["term", "side"]).groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w", "m"))).alias("v"))
+    bound = lambda a, e: F.least(F.sqrt(a["r"] + e["w"] * e["w"]), a["s"] + e["w"] * e["m"])
     step = lambda a, e: F.struct(  # noqa: E731  from the last term to the first; those before the first index that can't reach `least` are the index
         (a["r"] + e["w"] * e["w"]).alias("r"), (a["s"] + e["w"] * e["m"]).alias("s"),
-        F.when(F.least(F.sqrt(a["r"] + e["w"] * e["w"]), a["s"] + e["w"] * e["m"]) < least - 1e-9, a["k"] + 1).otherwise(a["k"]).alias("k"),
-        F.when(F.least(F.sqrt(a["r"] + e["w"] * e["w"]), a["s"] + e["w"] * e["m"]) < least - 1e-9, F.least(F.sqrt(a["r"] + e["w"] * e["w"]), a["s"] + e["w"] * e["m"])).otherwise(a["b"]).alias("b"),
+        F.when(bound(a, e) < least - 1e-9, a["k"] + 1).otherwise(a["k"]).alias("k"), F.when(bound(a, e) < least - 1e-9, bound(a, e)).otherwise(a["b"]).alias("b"),
     )
     zero = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(0.0).alias("b"))
     pruned = bounded.withColumn("x", F.aggregate(F.reverse("v"), zero, step))
-    index = pruned.select("id", "side", F.col("x.b").alias("rest"), F.explode(F.slice("v", F.lit(1), F.size("v") - F.col("x.k"))).alias("e")).select("id", "side", "rest", "e.term", "e.w")
-    index = keep(index)
-    a = index.filter("side = 0").select("term", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
-    b = index.filter("side = 1").select("term", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
-    shared = a.join(b, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.max(F.greatest("ra", "rb")).alias("rest"))
+    index = keep(pruned.select("id", "side", F.col("x.b").alias("rest"), F.explode(F.slice("v", F.lit(1), F.size("v") - F.col("x.k"))).alias("e")).select("id", "side", "rest", "e.term", "e.w"))
+    long = index.filter("side = 1").groupBy("term").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    split = index.join(long, "term", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    a = split.filter("side = 0").select("term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("id").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    b = split.filter("side = 1").select("term", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"), F.col("id").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    shared = a.join(b, ["term", "part"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.max(F.greatest("ra", "rb")).alias("rest"))
     pairs = shared.filter(F.col("dot") + F.col("rest") >= least - 1e-9).select("a", "b")
     side = lambda s, i, v: vectors.filter(F.col("side") == s).select(F.col("id").alias(i), F.map_from_arrays("v.term", "v.w").alias(v))
     both = pairs.join(side(0, "a", "va"), "a").join(side(1, "b", "vb"), "b")
@@ -146,9 +175,11 @@ def classes(cases: DataFrame) -> DataFrame:
 
 
 def linked(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, cosine) of classes of both sides that ask the same."""
+    """Pairs (a, b, cosine) of classes of both sides that ask the same; numbers must be equal, so they are the block."""
     forms = rows.groupBy(F.col("class").alias("id"), "side").agg(F.first("form").alias("text"))
-    near = cosine_join(forms, COSINE)
+    words, number = F.split("text", " "), lambda w: F.regexp_like(w, F.lit(r"^\d+$"))
+    cut = forms.select("id", "side", F.array_join(F.array_sort(F.filter(words, number)), " ").alias("block"), F.filter(words, lambda w: ~number(w)).alias("words"))
+    near = cosine_join(term_vectors(cut), COSINE)
     text = lambda s, i, t: forms.filter(F.col("side") == s).select(F.col("id").alias(i), F.col("text").alias(t))
     return near.join(text(0, "a", "ta"), "a").join(text(1, "b", "tb"), "b").filter(_same("ta", "tb")).select("a", "b", "cosine")
 
