@@ -40,3 +40,13 @@ def test_bare_messages_are_residue(spark):
     texts = ["Just a moment...", "Replace this with your own words", "404 -", "Our shop sells bread."]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("host", residue.F.lit("velmora.example"))
     assert {r.id for r in residue.messages(df, "text", "host").collect()} == {0, 1, 2}
+
+
+def test_what_recurs_in_any_wording_is_found(spark, monkeypatch):
+    texts = [("Portal offline, retry connection in 12 s", f"h{i}.example") for i in range(3)] + [("System refresh, please wait", "h1.example"), ("Welcome to &lt;shop_name&gt;", "h2.example"), ("Fresh bread since 1950", "h3.example")]
+    texts += [("Learn why every browser loads a page slowly, in plain words.", f"g{i}.example") for i in range(5)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, text string, host string")
+    found = lambda: {r.id for r in residue.messages(df, "text", "host", whole=True).collect()}
+    assert found() == {0, 1, 2, 4}
+    monkeypatch.setattr(residue, "WIDE", 10**9)
+    assert found() == {4}

@@ -15,36 +15,36 @@ from webloom.sources.tables import table
 #: Least number of sources (hosts) of a widely recurring message.
 WIDE = 3
 
-# Forms of an unfilled placeholder.
+# Forms of an unfilled placeholder.
 _ID = r"[\p{L}_][\p{L}\d_.]*"
 PLACEHOLDER = "|".join([
     r"\{\{\s*" + _ID + r"\s*\}\}", r"\{%\s*" + _ID + r"\s*%\}", r"<%=?\s*" + _ID + r"\s*%>", r"[$#]\{\s*" + _ID + r"\s*\}", r"\{\$?" + _ID + r"\}", r"\[\[\s*" + _ID + r"\s*\]\]",
     r"%%" + _ID + r"%%", r"@@" + _ID + r"@@", r"\b__\p{L}[\p{L}\d_.]*?__(?![\p{L}\d])", r"%" + _ID + r"%", r"&lt;" + _ID + r"&gt;", r"<(?![bi]>|/|p>|br>|em>|hr>|li>|ul>|ol>)" + _ID + r">", r"\[" + _ID + r"\](?!\()",
 ])
 
-# Words of a text about placeholders rather than with one.
+# Words of a text about placeholders rather than with one.
 MENTION = r"templates?|placeholders?|platzhaltern?|brackets?|braces|syntax|marcadores?|plantillas?|gabarits?|crochets|accolades|segnaposto|parentesi|symbole zastępcze|шаблон\w*|プレースホルダ"
 
-# Phrases of messages that stand where content should.
-_SCRIPT = r"(?:java ?)?script(?:s|ing)?|skript\w*|скрипт\w*|スクリプト"
+# Phrases of messages that stand where content should.
+_SCRIPT = r"(?:java ?)?script(?:s|ing)?|skript\w*|skrypt\w*|скрипт\w*|スクリプト"
 PHRASES = [
     rf"(?:(?:please|bitte|you must|you need to|necesita|veuillez|por favor|proszę) )?(?:enable|activate|turn on|switch on|allow|activar|activez|activer|active|aktivieren sie|aktiviere|attivare|attiva|ative|włącz|schakel|включите)\b[^.;:!?|]{{0,30}}?(?:{_SCRIPT})(?: in your browser(?: settings)?|,? um diese seite zu nutzen| en su navegador| (?:na|dans|nel|w) \w+ \w+)?",
     rf"(?:{_SCRIPT}|cookies)[^.;:!?|]{{0,12}} ?(?:is|are|ist|sind|est|está|wurde) (?:turned off|switched off|disabled|blocked|required|needed|ausgeschaltet|deaktiviert|désactivé\w*|desactivad\w*)(?: in your browser)?",
     rf"this (?:app|application|site|page|shop|website) (?:relies on|requires|needs|only works with) (?:{_SCRIPT})(?: switched on| to run)?", r"your browser has it switched off", rf"(?:voor deze \w+ )?moet (?:{_SCRIPT}) aanstaan", r"loading[.…]*", r"if nothing happens", rf"cette page ne s'affiche qu'avec (?:{_SCRIPT})", r"noscript",
     r"checking your browser(?: before you continue)?", r"this needs cookies and scripts", r"just a moment(?: while we verify you are human)?", r"verify (?:that )?you are human", r"nothing can be shown (?:without it|until they are allowed)", r"the content is loaded by a script",
     r"(?:http |error |erreur |fehler )*# (?:-|–|:|\||not found|forbidden|unauthorized|bad gateway|server error|service unavailable)", r"(?:http|error|erreur|fehler|código|code) +#", r"#? ?(?:page |seite )?not +found", r"forbidden", r"unauthori[sz]ed", r"bad gateway", r"(?:#|http #)? ?gateway problem", r"upstream \S+ did not answer", r"upstream did not reply within # seconds", r"(?:internal )?server +error", r"(?:the )?service (?:is )?(?:not available right now|(?:temporarily )?unavailable)",
-    r"access (?:to this resource is )?denied", r"zugriff (?:nicht erlaubt|verweigert)", r"accès (?:refusé|interdit)", r"acceso denegado", r"(?:diese )?seite (?:fehlt|nicht gefunden|existiert leider nicht mehr)", r"page (?:absente|introuvable|missing|does not exist)", r"p[áa]gina no encontrada", r"página não encontrada", r"pagina non trovata", r"pagina niet gevonden", r"nie znaleziono strony", r"strona nie istnieje", r"страница не найдена", r"ページが見つかりません", r"contenido no disponible", r"errore interno del server", r"ошибка +сервера", r"erreur (?:interne )?du serveur", r"interner serverfehler", r"nothing here", r"(?:the )?(?:page|file) or directory you are after is gone", r"the file or directory you are after is gone",
+    r"access (?:to this resource is )?denied", r"zugriff (?:nicht erlaubt|verweigert)", r"accès (?:refusé|interdit)", r"acceso denegado", r"(?:diese )?seite (?:fehlt|nicht gefunden|existiert leider nicht mehr)", r"page (?:absente|introuvable|missing|does not exist)", r"p[áa]gina no encontrada", r"página não encontrada", r"pagina non trovata", r"pagina niet gevonden", r"nie znaleziono strony", r"strona nie istnieje", r"страница не найдена", r"ページが見つかりません", r"contenido no disponible", r"errore interno del server", r"ошибка +сервера", r"erreur (?:interne )?du serveur", r"interner serverfehler", r"nothing here", r"gone", r"(?:connection|request)(?: to \S+)? timed out(?: after # \w+)?", r"(?:the )?(?:page|file) or directory you are after is gone", r"the file or directory you are after is gone",
     r"the requested (?:address|url|page)(?: \S+)? was not found(?: on this server)?", r"(?:oops|sorry)[!,. ]+", r"something went wrong(?: on our side)?", r"\(?code #\)?", r"domain \S+ has expired(?: and is awaiting renewal)?", r"this account has been suspended", r"contact your hosting company", r"your session has timed out", r"sign in again", r"too many requests(?:, slow down and retry in # seconds)?", r"request blocked", r"reference number [#.]+", r"error establishing a connection to the data(?: ?store|base)", r"sqlstate\[[^\]]*\]", r"no such table(?:: ?\S+)?", r"traceback(?:: key \S+ missing while rendering view #)?", r"(?:php )?(?:fatal error|warning|notice): (?:undefined|uncaught|call to)[^|]*?(?: on line #|$)", r"fatal error(?:[:,] [^|.]*)?", r"index of /\S*", r"we'll be back soon", r"(?:maintenance in progress|under maintenance|under construction|coming soon)",
     r"lorem|ipsum|dolor|sit amet|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua|enim|minim|veniam|quis|nostrud|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute|irure|velit|esse|cillum|fugiat|nulla|pariatur|sint|dolore",
-    r"hier steht ein blindtext(?: als platzhalter)?", r"(?:sample|example|dummy|filler|placeholder) text", r"replace this with your own words", r"texte à remplacer", r"texto de ejemplo", r"testo segnaposto", r"text(?: text){2,}", r"test(?: test)+", r"(?:asdf|qwer|asdf qwer)(?: (?:asdf|qwer))*", r"x{3,}(?: x{2,})*", r"untitled(?: document| page)?", r"undefined", r"null", r"nan", r"\[object object\]", r"heading #", r"new page(?: \(#\))?", r"company name", r"slogan", r"votre slogan ici", r"ihr firmenname", r"tu título aquí", r"escriba aquí una descripción", r"(?:add )?your (?:title|tagline|slogan|text|company name|description)(?: goes)? here", r"add your (?:title|text|tagline|description) here", r"insert (?:company )?(?:description|title|text|name) here", r"enter a (?:short )?(?:summary|description|title)(?: of this page)?", r"description of the page", r"\(?max\.? # characters\)?", r"write something about us", r"welcome to your new (?:website|site|blog)", r"click edit to change this text", r"just another (?:site|blog)(?: made with the builder)?", r"default web page of the server", r"it is working", r"it works!?",
+    r"hier steht ein blindtext(?: als platzhalter)?", r"(?:sample|example|dummy|filler|placeholder) text", r"replace this with your own words", r"texte à remplacer", r"texto de ejemplo", r"testo segnaposto", r"text(?: text){2,}", r"test(?: test)+(?: #)?", r"(?:asdf|qwer|asdf qwer)(?: (?:asdf|qwer))*", r"x{3,}(?: x{2,})*", r"untitled(?: document| page)?", r"undefined", r"null", r"nan", r"\[object object\]", r"heading #", r"new page(?: \(#\))?", r"company name", r"slogan", r"votre slogan ici", r"ihr firmenname", r"tu título aquí", r"escriba aquí una descripción", r"(?:add )?your (?:title|tagline|slogan|text|company name|description)(?: goes)? here", r"add your (?:title|text|tagline|description) here", r"insert (?:company )?(?:description|title|text|name) here", r"enter a (?:short )?(?:summary|description|title)(?: of this page)?", r"description of the page", r"\(?max\.? # characters\)?", r"write something about us", r"welcome to your new (?:website|site|blog)", r"click edit to change this text", r"just another (?:site|blog)(?: made with the builder)?", r"default web page of the server", r"it is working", r"it works!?",
 ]
 
-# What may accompany such a message, saying nothing by itself.
+# What may accompany such a message, saying nothing by itself.
 TAILS = [
     r"welcome to", r"(?:to|and) (?:continue|reload(?: the page)?|use ~?|see this page)", r"so that we can check your browser", r"to use", r"for ~", r"para continuar", r"pour continuer", r"um fortzufahren", r"per continuare", r"om verder te gaan", r"aby kontynuować", r"чтобы продолжить", r"and reload(?: the page)?", r"request id \S+", r"reference [#~]", r"\(?nginx-like server\)?", r"go back to the start page", r"if this keeps happening, write to the administrator", r"try again in a few minutes", r"the address may be mistyped or the page has moved", r"https?", r"~",
 ]
 
-# Words of notices and legal lines, which are no content of a page.
+# Words of notices and legal lines, which are no content of a page.
 LEGAL = r"cookies?|©|copyright|all rights|prices include tax|inkl\. mwst|plus shipping|and (?:our|its)(?: #)? partners|identifiers?|einwilligung|zustimmung|consent\w*|consentement|privacy|datenschutz\w*|privacidad|small files|your choices|measure visits|store\w* .*computer"
 
 
@@ -54,17 +54,21 @@ def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}&&[^぀-ヿ一-鿿]]{2,}")) + F.ceil(kana)
 
 
-# Literals of which every placeholder, and one of which every phrase above that BARE doesn't find, holds at least one.
-LITERALS = """{ [ < % __ @@ &lt; script skript скрипт スクリプト browser cookies human without until loading nothing error http fehler erreur código code not&found forbidden unauthori gateway upstream server service available denied
+# Literals of which every placeholder, and one of which every phrase above that BARE doesn't find, holds at least one.
+LITERALS = """{ [ < % __ @@ lt; gone timed script skript skrypt скрипт スクリプト browser cookies human without until loading nothing error http fehler erreur código code not&found forbidden unauthori gateway upstream server service available denied
 zugriff accès acceso seite page página pagina strony strona страница ページ contenido errore ошибка file directory requested oops sorry wrong expired suspended hosting session sign&in many&requests blocked reference connection sqlstate no&such
 traceback fatal warning notice index&of back&soon maintenance construction coming&soon lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure velit esse cillum fugiat nulla pariatur sint
 text test moment replace asdf qwer xxx untitled undefined null nan object heading new&page company slogan firmenname título titulo descripción descripcion your&title your&tagline your&text your&description insert enter description characters something new&website new&site new&blog edit another default working works""".split()
 
 
-# What phrases without a literal hold: a status code before a dash, colon or bar; short words of filler.
+# What phrases without a literal hold: a status code before a dash, colon or bar; short words of filler.
 BARE = re.compile(r"\d\s+[-–:|]|(?<![^\W_])(?:sed|esse)(?![^\W_])")
 
 
+# What messages of systems rather than of sites speak of: for forms that recur in WIDE sources, where half a form's words are enough.
+CUES = r"access|account|address|admin\w*|anmelden|application|back|browser|cache|code|connection|connexion|content|cookies|database|denied|device|disabled|down|empty|enable|error|erreur|errore|exception|expired|failed|failure|fehler|file|gone|host|invalid|javascript|load|loading|login|maintenance|missing|mode|moved|not|null|offline|out|page|página|pagina|password|please|plugin|redirect\w*|refresh|reload|request|resource|response|retry|scripts?|seite|server|service|session|site|strona|suspended|system|template|temporarily|test|timed|timeout|try|unable|unavailable|unsupported|update|upgrade|url|user|verify|version|wait|website|страница|ошибка|сервер"
+
+
 def literals():
     """An automaton that finds LITERALS."""
     import ahocorasick
@@ -109,13 +113,30 @@ def _masked(texts: pd.Series, sources: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def messages(units: DataFrame, text: str, source: str) -> DataFrame:
+def _plain_form(text: Column) -> Column:
+    """Lower case, with addresses, dates and numbers masked."""
+    plain = F.regexp_replace(F.lower(F.translate(text, "’\xa0", "' ")), r"(?:https?://|www\.)\S+|\S+@\S+\.\S+", "@")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\d+(?:[./:-]\d+)*", "#"), r"\s+", " "))
+
+
+def recurring(units: DataFrame, text: str, source: str) -> DataFrame:
+    """The masked forms (f) that recur in at least WIDE sources, don't name their host, and half of whose words are CUES."""
+    form = _plain_form(F.col(text))
+    host = F.regexp_replace(F.lower(F.coalesce(F.col(source), F.lit(""))), "[^a-z]", "")
+    named = F.exists(F.split(form, r"[^\p{L}]+"), lambda w: (F.length(w) >= 4) & F.contains(host, w))
+    words, cues = F.regexp_count(form, F.lit(r"\p{L}{2,}")), F.regexp_count(form, F.lit(rf"(?<![\p{{L}}\d])(?:{CUES})(?![\p{{L}}\d])"))
+    forms = units.select(form.alias("f"), F.col(source).alias("s"), words.alias("w"), cues.alias("c"), named.alias("named")).filter("c > 0 and 2 * c >= w and not named")
+    return forms.groupBy("f").agg(F.countDistinct("s").alias("n")).filter(F.col("n") >= WIDE).select("f")
+
+
+def messages(units: DataFrame, text: str, source: str, whole: bool = False) -> DataFrame:
     """The units that are open (hold an unfilled placeholder) or residue (are a message, not content), with these two columns.
 
     Units are masked and grouped by the exact hash of the masked form over all sources. A form is residue where
     known phrases, filler words and placeholders make up nearly all of it, or half of it if the form recurs
-    in at least WIDE sources. A placeholder in a text that speaks of placeholders isn't unfilled. A null or blank text is
-    neither. No unit is skipped: those without any of LITERALS and BARE can match no pattern.
+    in at least WIDE sources; if units are whole fields, also where it recurs so widely and speaks mostly of systems (see
+    recurring), in whatever wording. A placeholder in a text that speaks of placeholders isn't unfilled. A null or blank text is
+    neither. No unit is skipped: those without any of LITERALS and BARE can match no phrase.
     """
     t = F.col(text)
     edge = lambda p: rf"(?<![\p{{L}}\d])(?:{p})(?![\p{{L}}\d])"
@@ -129,7 +150,11 @@ def messages(units: DataFrame, text: str, source: str) -> DataFrame:
     bad = (rest <= 1) | (share <= 0.2) | ((F.col("sources") >= WIDE) & (share <= 0.5))
     flagged = forms.filter(bad).select("_hash", F.lit(True).alias("_bad"))
     joined = out.join(flagged, "_hash", "left")
-    return joined.select(*units.columns, "open", F.coalesce("_bad", F.lit(False)).alias("residue")).filter("open or residue")
+    found = joined.select(*units.columns, "open", F.coalesce("_bad", F.lit(False)).alias("residue")).filter("open or residue")
+    if not whole:
+        return found
+    more = units.withColumn("f", _plain_form(t)).join(recurring(units, text, source), "f", "left_semi").select(*units.columns, F.lit(False).alias("open"), F.lit(True).alias("residue"))
+    return found.union(more).groupBy(*units.columns).agg(F.bool_or("open").alias("open"), F.bool_or("residue").alias("residue"))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -142,7 +167,7 @@ def homepage_residue(meta: DataFrame) -> DataFrame:
     """src, rec_id, field of the affected titles and descriptions; each field is one message. Rows of a null meta_id are left out."""
     field = lambda name: F.struct(F.lit(name).alias("field"), F.col(name).alias("text"))
     units = meta.filter("meta_id is not null").select("meta_id", "domain", F.explode(F.array(field("title"), field("description"))).alias("x")).select("meta_id", "domain", "x.field", "x.text")
-    return messages(units, "text", "domain").select(F.lit("homepage_meta").alias("src"), F.col("meta_id").alias("rec_id"), "field").distinct()
+    return messages(units, "text", "domain", whole=True).select(F.lit("homepage_meta").alias("src"), F.col("meta_id").alias("rec_id"), "field").distinct()
 
 
 def page_residue(pages: DataFrame) -> DataFrame:
