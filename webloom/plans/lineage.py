@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a temporary one on local masters; a cluster's
+    executors would each write to a disk of their own and read only part of it again, so there it is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not (own := getattr(spark.sparkContext, "_webloom_dir", "")):
         own = spark.sparkContext._webloom_dir = tempfile.mkdtemp(prefix="webloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
