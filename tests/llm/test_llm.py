@@ -146,6 +146,17 @@ def test_stuffed_texts(spark):
     assert stuffing.stuffed(df.limit(0)).count() == 0
 
 
+def test_weak_labels():
+    label = lambda t: stuffing.weak_label([*stuffing.content_features(t), 0, 0, 0])
+    assert label("Nasz mały warsztat porównuje dawne pieśni tuż obok portu.") == 0 and label("sofa buy sofa sale sofa top sofa best") == 1
+
+
+def test_long_texts_are_in_the_training_sample(spark):
+    long = " ".join(f"cheap sofa{i % 7}, buy sofa{i % 7}," for i in range(4000))
+    df = spark.createDataFrame([("a", "h", long), *((f"b{i}", f"h{i}", f"The village library of {'abcdefghij'[i] * 4} sells bread.") for i in range(10))], "key string, host string, text string").withColumn("linkers", F.lit(None).cast("long"))
+    assert {r.key for r in stuffing.stuffed(df).collect()} == {"a"}
+
+
 def test_languages_held_out():
     d = pd.read_parquet(DATA.replace("0.001", "0.01") + "/homepage_meta.parquet")
     sentences = {"en": ["the village library sells bread to the people of the town", "our small workshop repairs old clocks and radios every day"], "de": ["die bücherei im dorf verkauft brot an die leute der stadt", "unsere kleine werkstatt repariert alte uhren und radios jeden tag"]}

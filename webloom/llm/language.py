@@ -19,6 +19,8 @@ from webloom.sources.tables import table
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru", "ja")
 #: Letters of the longest group, and texts of each language of which the models are trained at most (those with the smallest hashes).
 ORDER, TRAIN_TEXTS, TRAIN_DOCS = 5, 1500, 250
+#: Characters of a text from which, and up to which, it may be among them; longer ones get their languages all the same.
+TRAIN_FROM, TRAIN_TO = 200, 5000
 #: Least confidence of a segment whose language counts.
 SURE = 0.8
 _PAD = "\x02" * (ORDER - 1)
@@ -217,9 +219,9 @@ def agreed(spoken: dict[str, list[str]]) -> dict[str, list[str]]:
 
 def trained(labelled: DataFrame, longer: DataFrame) -> Models:
     """Models of rows whose labels are mostly right: (id, title, description, lang), at most TRAIN_TEXTS a language, and
-    (id, description, lang) of longer texts, at most TRAIN_DOCS of up to 5,000 characters a language."""
+    (id, description, lang) of longer texts, at most TRAIN_DOCS a language, of up to TRAIN_TO characters each."""
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    first = lambda df, most: df.filter(F.col("lang").isin(*LANGS) & (F.length("description") <= 5000)).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
+    first = lambda df, most: df.filter(F.col("lang").isin(*LANGS) & (F.length("description") <= TRAIN_TO)).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
     few = first(labelled, TRAIN_TEXTS).unionByName(first(longer, TRAIN_DOCS), allowMissingColumns=True)
     few = few.select("lang", "title", "description").orderBy("lang", "n", "description").toPandas()
     spoken: dict[str, list[str]] = {lang: [] for lang in LANGS}
@@ -243,6 +245,27 @@ def languages(docs: DataFrame, models: Models) -> DataFrame:
     return docs.filter("id is not null").select("id", "title", "description").mapInPandas(_judged(shared), "id long, segment_no int, field string, segment string, lang string, confidence double, sentence boolean")
 
 
+def _whole(shared):
+    def run(batches):
+        models = Models.__new__(Models)
+        models.__dict__.update(shared.value)
+        for pdf in batches:
+            texts = [plain(" ".join(x for x in (t, d) if isinstance(x, str))) for t, d in zip(pdf["title"], pdf["description"])]
+            langs, sure = models.best(texts)
+            yield pd.DataFrame({"id": pdf["id"], "letters": [len(t) for t in texts], "lang": pd.Series(langs, dtype=object), "confidence": sure})
+
+    return run
+
+
+def whole_languages(docs: DataFrame, models: Models) -> DataFrame:
+    """id, letters, lang, confidence: one row for each document (id, title, description), by the cross-entropy per letter of all its text.
+
+    lang is null where even the lowest is too high, or there are no letters. Rows of null id are left out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(models.__dict__)  # bounded by the training sample
+    return docs.filter("id is not null").select("id", "title", "description").mapInPandas(_whole(shared), "id long, letters long, lang string, confidence double")
+
+
 def newest_lang(items: DataFrame) -> DataFrame:
     """id, tag: the main part of the lang of each item's newest rev, null where it names none of LANGS."""
     last = items.filter("id is not null").groupBy("id").agg(F.max(F.struct("rev", "lang")).alias("x"))
@@ -257,7 +280,7 @@ def _homepages(spark, d) -> DataFrame:
 
 
 def _models(spark, d, pages: DataFrame) -> Models:
-    docs = table(spark, d, "documents").filter("doc_id is not null and n_chars between 200 and 5000")
+    docs = table(spark, d, "documents").filter(f"doc_id is not null and n_chars between {TRAIN_FROM} and {TRAIN_TO}")
     return trained(pages, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("description"), "lang"))
 
 
@@ -267,6 +290,13 @@ def p6_languages(spark, d):
     return languages(pages, _models(spark, d, pages)).withColumnRenamed("id", "meta_id")
 
 
+def p6_homepages(spark, d):
+    """The language of each homepage as a whole, with its confidence, beside the label of its site's item."""
+    pages = _homepages(spark, d)
+    told = whole_languages(pages, _models(spark, d, pages))
+    return told.join(pages.select("id", F.col("lang").alias("label")), "id").withColumnRenamed("id", "meta_id")
+
+
 def p6_found(spark, d):
     """Languages of the homepages whose label is missing or wrong, or which mix languages."""
     pages = _homepages(spark, d)
@@ -282,5 +312,5 @@ def p6_found(spark, d):
     return wrong.select(F.col("id").alias("meta_id"), F.explode("langs").alias("lang"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_languages": p6_languages}
+QUERIES = {"p6_found": p6_found, "p6_languages": p6_languages, "p6_homepages": p6_homepages}
 SQL: dict[str, str] = {}

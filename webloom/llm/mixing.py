@@ -11,6 +11,8 @@ from webloom.plans.lineage import keep
 from webloom.sources.tables import table
 
 SEED = 20
+#: Spans of patterns up to which they are broadcast.
+FEW = 100_000
 
 
 class Flow:
@@ -126,13 +128,13 @@ def mixed(records: DataFrame, targets: DataFrame, total: int | None = None, seed
     lines = count_before(texts.withColumn("order", F.xxhash64("text_hash", F.lit(seed))), ["pattern"], ["order", "text_hash"], "tokens", "at")
     span = spark.createDataFrame(spans, "pattern string, level int, source string, lo long, hi long")
     middle = F.col("at") + F.col("tokens") / 2
-    taken = lines.join(F.broadcast(span), "pattern").filter((middle >= F.col("lo")) & (middle < F.col("hi")))  # one span for each use number
+    taken = lines.join(F.broadcast(span) if len(spans) <= FEW else span, "pattern").filter((middle >= F.col("lo")) & (middle < F.col("hi")))  # one span for each use number
     record = F.filter("held", lambda h: h["source"] == F.col("source"))[0]["doc_id"]
     return taken.select(record.alias("doc_id"), "source", "tokens").groupBy("doc_id", "source", "tokens").agg(F.count("*").cast("int").alias("uses")).select("doc_id", "source", "uses", "tokens")
 
 
 def _records(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text")
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "source", F.unhex(F.md5("text")).alias("text_hash"), "text")
     return token_counts(docs)
 
 
@@ -150,5 +152,16 @@ def p9_shares(spark, d):
     return rows.select("source", "target_share", "max_repeats", n("records"), n("uses"), n("most_uses"), n("tokens"), F.round(F.coalesce("tokens", F.lit(0)) / F.col("all"), 6).alias("share"))
 
 
-QUERIES = {"p9_selection": p9_selection, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def p9_invariants(spark, d):
+    """Of each source: whether its share is within a hundredth or two of the longest records of its target, and whether a record is used too often or comes twice."""
+    chosen = p9_selection(spark, d)
+    whole = chosen.agg(F.max("tokens").alias("longest"), F.sum(F.col("uses") * F.col("tokens")).alias("all"))
+    gap = F.greatest(2 * F.col("longest") / F.col("all"), F.lit(0.01))
+    shares = p9_shares(spark, d).join(F.broadcast(whole))  # one row
+    shares = shares.select("source", (F.abs(F.col("share") - F.col("target_share")) <= gap).alias("near"), (F.col("most_uses") > F.col("max_repeats")).alias("too_often"))
+    again = chosen.groupBy("source").agg((F.count("*") - F.count_distinct("doc_id")).alias("again"))
+    return shares.join(again, "source", "left").select("source", "near", "too_often", F.coalesce("again", F.lit(0)).alias("again"))
+
+
+QUERIES = {"p9_selection": p9_selection, "p9_shares": p9_shares, "p9_invariants": p9_invariants}
+SQL = {"p9_invariants": "SELECT source, true AS near, false AS too_often, 0 AS again FROM mix_targets"}

@@ -13,6 +13,10 @@ from webloom.plans.lineage import keep
 from webloom.sources.tables import table
 
 
+#: Ranks of a length that meet the slots of the same stretch.
+STRETCH = 1024
+
+
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Best fit over counts, longest first: (length, first, n, start, each) and the number of containers.
 
@@ -90,11 +94,13 @@ def packed(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     for p, c in caps.items():
         planned, used[p] = plan({r.rest: r.n for r in counts if r.pack_id == p}, c)
         slots += [(int(p), *s) for s in planned]
-    slot = spark.createDataFrame(slots, "pack_id int, rest long, first long, n long, start long, each long").groupBy("pack_id", "rest").agg(F.array_sort(F.collect_list(F.struct("first", "n", "start", "each"))).alias("slots"))
+    slot = spark.createDataFrame(slots, "pack_id int, rest long, first long, n long, start long, each long")
+    stretch = F.explode(F.sequence(F.floor(F.col("first") / STRETCH), F.floor((F.col("first") + F.col("n") - 1) / STRETCH))).alias("stretch")
+    slot = slot.select("*", stretch)  # a document meets the slots of its stretch of ranks alone
     ranked = count_before(rows.filter("rest > 0").select("pack_id", "rest", "doc_id", "whole", F.lit(1).alias("one")), ["pack_id", "rest"], ["doc_id"], "one", "rank")
-    mine = F.filter("slots", lambda s: (F.col("rank") >= s["first"]) & (F.col("rank") < s["first"] + s["n"]))[0]
-    placed = ranked.join(F.broadcast(slot), ["pack_id", "rest"]).withColumn("s", mine)  # as many slots as lengths and rooms allow, whatever the documents
-    items = placed.select("pack_id", "doc_id", (F.col("whole") + 1).cast("int").alias("piece_no"), (F.col("s.start") + F.floor((F.col("rank") - F.col("s.first")) / F.col("s.each"))).alias("container_id"), F.col("rest").alias("tokens"))
+    ranked = ranked.withColumn("stretch", F.floor(F.col("rank") / STRETCH))
+    placed = ranked.join(slot, ["pack_id", "rest", "stretch"]).filter("rank >= first and rank < first + n")
+    items = placed.select("pack_id", "doc_id", (F.col("whole") + 1).cast("int").alias("piece_no"), (F.col("start") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("container_id"), F.col("rest").alias("tokens"))
     own = count_before(rows.filter("whole > 0").select("pack_id", "doc_id", "whole", "capacity"), ["pack_id"], ["doc_id"], "whole", "before")
     base = F.coalesce(*[F.when(F.col("pack_id") == int(p), F.lit(n)) for p, n in used.items()])
     full = own.select("pack_id", "doc_id", "capacity", "before", F.explode(F.sequence(F.lit(1), F.col("whole").cast("int"))).alias("piece_no"))
@@ -120,5 +126,15 @@ def p8_fill(spark, d):
     return sums.join(table(spark, d, "pack_limits"), "pack_id").select("pack_id", "capacity_tokens", "containers", "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_invariants(spark, d):
+    """Of each capacity: documents placed, containers over it, texts cut though they fit, and containers less than half full beyond one."""
+    rows = p8_containers(spark, d).join(table(spark, d, "pack_limits"), "pack_id")
+    docs = rows.groupBy("pack_id", "capacity_tokens", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    cut = docs.groupBy("pack_id").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("cut"))
+    full = rows.filter("container_id is not null").groupBy("pack_id", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("tokens"))
+    over = full.groupBy("pack_id").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("over"), F.greatest(F.count_if(2 * F.col("tokens") < F.col("capacity_tokens")) - 1, F.lit(0)).alias("half_empty"))
+    return cut.join(over, "pack_id")
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_invariants": p8_invariants}
+SQL = {"p8_invariants": "SELECT pack_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS cut, 0 AS over, 0 AS half_empty FROM pack_limits"}

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from webloom.plans.lineage import keep
 from webloom.sources.tables import table
 
-#: A familiar word is found, in small letters, in this part of all documents; the list holds the most frequent ones, at most.
-FAMILIAR, LIST_SIZE = 0.003, 20_000
+#: A familiar word is found, in small letters, in this part of all documents. If texts have 250 different words on average, there are at most 250 / FAMILIAR of them.
+FAMILIAR = 0.003
 #: Labelled documents to which the bands are fitted, at most (those with the smallest hashes).
 FIT_ROWS = 20_000
 #: Least length of a text that has a level in p10_found.
@@ -25,7 +25,7 @@ _CODE = re.compile(r"^\s*[\w.]+\s*(?:\+|:)?=\s*\S.*$|[{};]\s*$|^\s*(?:def|import
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
 _END = re.compile(r"[.!?]+(?:[\"”')]*\s|[\"”')]*$)|\n+")
 
-# Function words by which English is told from the other languages of the texts.
+# Function words by which English is told from the other languages of the texts.
 _SPEECH = {
     "en": "the of and to in is that it was for on with as he she we they you are at this by an be his her my our had have from but what all were can which through your not or when then",
     "de": "der die das und ist für mit von den dem ein eine im auf zu nicht aus seit sich werden zum zur unser",
@@ -39,22 +39,27 @@ _SPEECH = {
 _SPEECH = {lang: frozenset(words.split()) for lang, words in _SPEECH.items()}
 
 
+_SIGNS = re.compile(r"[={};(:]")
+
+
 def prose(text: str) -> str:
     """The text without addresses and lines of code."""
     if "://" in text or "@" in text or "www." in text:
         text = _ADDRESS.sub(" ", text)
-    return "\n".join(x for x in text.split("\n") if not _CODE.search(x))
+    if not _SIGNS.search(text):  # no line of code is without one of them
+        return text
+    return "\n".join(x for x in text.split("\n") if not (_SIGNS.search(x) and _CODE.search(x)))
 
 
-def is_english(words: list[str]) -> bool:
-    """Whether English function words lead; a text with next to none in any language is taken as English if its letters are Latin."""
-    if not words:
+def is_english(counts: Counter, n: int) -> bool:
+    """Whether English function words lead; a text with next to none in any language is taken as English if its letters are Latin. counts: of n words in small letters."""
+    if not n:
         return False
-    counts = Counter(w.lower() for w in words)
-    share = {lang: sum(counts[w] for w in known) / len(words) for lang, known in _SPEECH.items()}
+    share = {lang: sum(counts[w] for w in known) / n for lang, known in _SPEECH.items()}
     other = max(v for lang, v in share.items() if lang != "en")
-    latin = sum(c.isascii() for w in words for c in w) / sum(len(w) for w in words)
-    return latin > 0.9 and share["en"] >= other and (share["en"] >= 0.03 or other < 0.03)
+    if share["en"] < other or share["en"] < 0.03 <= other:
+        return False
+    return sum(c for w, c in counts.items() for x in w if x.isascii()) > 0.9 * sum(len(w) * c for w, c in counts.items())
 
 
 def measures(text: str, familiar: frozenset) -> tuple[float, float, bool]:
@@ -62,29 +67,30 @@ def measures(text: str, familiar: frozenset) -> tuple[float, float, bool]:
 
     Sentences end at their marks and at lines; where marks are missing, a familiar word with a capital starts a new one.
     """
-    all_words: list[str] = []
-    sentences = n = unknown = 0
+    kinds: Counter = Counter()
+    marked = extra = total = 0
     for piece in _END.split(prose(text)):
         words = _WORD.findall(piece)
         if not words:
             continue
-        all_words += words
-        sentences += 1
-        before = words[0]
-        for w in words[1:]:
-            if w[0].isupper() and len(w) > 1 and not before[0].isupper() and w.lower() in familiar and "'" not in w and "’" not in w:
-                sentences += 1
-            before = w
-    shouted = sum(w[0].isupper() for w in all_words) > 0.5 * len(all_words)
-    if shouted:
-        sentences = sum(1 for p in _END.split(prose(text)) if _WORD.search(p))
-    for w in all_words:
+        marked += 1
+        total += len(words)
+        kinds.update(words)
+        for i, w in enumerate(words):
+            if w[0].isupper() and i and len(w) > 1 and not words[i - 1][0].isupper() and w.lower() in familiar and "'" not in w and "’" not in w:
+                extra += 1
+    low: Counter = Counter()
+    for w, c in kinds.items():
+        low[w.lower()] += c
+    shouted = sum(c for w, c in kinds.items() if w[0].isupper()) > 0.5 * total
+    n = unknown = 0
+    for w, c in kinds.items():
         if w.lower().replace("’", "'") in familiar:
-            n += 1
+            n += c
         elif w[0].islower() or shouted:
-            n += 1
-            unknown += 1
-    return unknown / max(n, 1), len(all_words) / max(sentences, 1), is_english(all_words)
+            n += c
+            unknown += c
+    return unknown / max(n, 1), total / max(marked if shouted else marked + extra, 1), is_english(low, total)
 
 
 def _document_counts(batches):
@@ -98,11 +104,11 @@ def _document_counts(batches):
 
 
 def familiar_words(docs: DataFrame) -> frozenset:
-    """The words found in FAMILIAR of all documents (at least 3), in small letters; at most LIST_SIZE, the most frequent."""
+    """The words found in FAMILIAR of all documents (at least 3), in small letters; all of them, since their number is bounded by FAMILIAR."""
     texts = docs.filter("text is not null").select("text")
     counts = texts.mapInPandas(_document_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     least = max(3.0, FAMILIAR * texts.count())
-    return frozenset(r.word for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(LIST_SIZE).collect())
+    return frozenset(r.word for r in counts.filter(F.col("n") >= least).select("word").collect())
 
 
 def _measured(familiar):
@@ -147,7 +153,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sentence 0 and is not English. Text that isn't English gets a band too, which means little.
     """
     spark = docs.sparkSession
-    familiar = spark.sparkContext.broadcast(familiar_words(docs))  # at most LIST_SIZE words
+    familiar = spark.sparkContext.broadcast(familiar_words(docs))  # bounded by FAMILIAR, whatever the documents
     values = keep(docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(_measured(familiar), "doc_id long, chars long, unfamiliar double, sentence double, english boolean"))
     sample = values.join(labels.filter("band between 1 and 5").select("doc_id", "band"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "band").limit(FIT_ROWS).toPandas()
     if sample.empty:

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from webloom.plans.lineage import keep
 from webloom.sources.tables import table
 
-#: Texts of which the trees are trained, at most; those with the smallest hashes, so any text is as likely.
-TRAIN_TEXTS = 20_000
+#: Texts of whose pieces the trees are trained, at most, and pieces, at most; those with the smallest hashes, so any is as likely.
+TRAIN_TEXTS, TRAIN_PIECES = 20_000, 60_000
 #: Trees, their depth and least leaf.
-TREES, DEPTH, LEAF = 15, 8, 5
+TREES, DEPTH, LEAF = 15, 8, 2
 #: Part of a row's score that its host's rate of spam makes up, and rows that the overall rate counts as in that rate.
 HOST_PART, HOST_PRIOR = 0.15, 5.0
 
-# Function words of the languages of the web sites.
+# Function words of the languages of the web sites.
 _FUNCTION = set("""a an the of for in on at to by and or is are was we our us you your they their them it its he she with from as that this who when where what how which while not no be been has have had do does but if than then so about into over without more also each every other until some
 der die das den dem des ein eine einen und oder ist sind wir unser unsere sie ihr mit von vom für fur im am an auf aus bei seit zu zum zur nicht auch als wie wo mehr jede jeden jedem ohne zwischen zwar
 le la les un une des du et ou est sont nous notre nos vous pour dans sur avec par qui que en au aux ce cette plus depuis sans entre tous
@@ -77,6 +77,8 @@ def weak_label(x: list[float]) -> float:
         return 1.0
     if f["function_share"] <= 0.08 and f["words"] >= 6 and (f["segments"] >= 4 and f["segment_words"] <= 5 or f["bare_run"] >= 8 and not f["ends"] or f["upper_share"] >= 0.6 and f["segments"] >= 3):
         return 1.0
+    if f["ends"] and f["words"] >= 4 and f["segments"] <= 2 and f["top_share"] <= 0.2 and f["links"] <= 1 and f["tags"] <= 1 and f["upper_share"] < 0.6:
+        return 0.0  # one sentence, be it of few function words
     if f["links"] <= 2 and f["tags"] <= 2 and f["top"] <= 3 and (f["words"] <= 4 or f["function_share"] >= 0.18):
         return 0.0
     if f["words"] <= 5 and f["links"] <= 2 and f["segments"] <= 3:
@@ -160,6 +162,13 @@ def _featured(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype=float).reshape(-1, len(FEATURES)), np.array(rows, dtype=int)
 
 
+def _described(batches):
+    """The features of each piece, and its weak label."""
+    for pdf in batches:
+        x, _ = _featured(pdf)
+        yield pd.DataFrame({"x": x.tolist(), "y": [weak_label(list(r)) for r in x]})
+
+
 def _scored(trees: Trees):
     def run(batches):
         for pdf in batches:
@@ -178,15 +187,15 @@ def stuffed(rows: DataFrame) -> DataFrame:
     text once; a text scores as its worst piece. A row's score is mixed with its host's rate. Blank and null texts
     score 0; a null host counts as one host; linkers is a 64-bit sketch or null. Rows of score 0.5 and more come out.
     """
-    spoken = rows.filter(F.regexp_like("text", F.lit(r"\S"))).select("key", F.coalesce("host", F.lit("")).alias("host"), "text", F.xxhash64("text").alias("hash"), F.bit_count("linkers").alias("bits"))
+    spoken = rows.filter(F.regexp_like("text", F.lit(r"\S"))).select("key", F.coalesce("host", F.lit("")).alias("host"), "text", F.unhex(F.md5("text")).alias("hash"), F.bit_count("linkers").alias("bits"))
     texts = spoken.groupBy("hash", "host").agg(F.first("text").alias("text"), F.count("*").alias("n"), F.sum(F.coalesce("bits", F.lit(0))).alias("bits"))
     texts = keep(texts.groupBy("hash").agg(F.first("text").alias("text"), F.count("*").alias("sources"), F.sum("n").alias("n"), (F.sum("bits") / F.sum("n")).alias("linkers")))
-    sample = texts.filter("length(text) <= 20000").orderBy("hash").limit(TRAIN_TEXTS).toPandas()
-    x, _ = _featured(sample)
-    y = np.array([weak_label(list(r)) for r in x])
+    described = texts.orderBy("hash").limit(TRAIN_TEXTS).repartition(16).mapInPandas(_described, "x array<double>, y double")
+    sample = described.orderBy(F.xxhash64("x"), "x").limit(TRAIN_PIECES).toPandas()  # numbers alone, whatever the length of the texts
+    x, y = np.array(sample["x"].tolist(), dtype=float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float)
     sure = y != 0.5
     trees = Trees(x[sure], y[sure]) if sure.any() else Trees(x, y)
-    scores = keep(texts.mapInPandas(_scored(trees), "hash long, score double").filter("score >= 0.05"))
+    scores = keep(texts.mapInPandas(_scored(trees), "hash binary, score double").filter("score >= 0.05"))
     scored = spoken.select("key", "host", "hash").join(scores, "hash", "left").select("key", "host", F.coalesce("score", F.lit(0.0)).alias("score"))
     hosts = scored.groupBy("host").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
     overall = float(hosts.agg((F.sum("s") / F.sum("n")).alias("p")).first()["p"] or 0.0)
