@@ -152,9 +152,9 @@ def test_weak_labels():
 
 
 def test_long_texts_are_in_the_training_sample(spark):
-    long = " ".join(f"cheap sofa{i % 7}, buy sofa{i % 7}," for i in range(4000))
-    df = spark.createDataFrame([("a", "h", long), *((f"b{i}", f"h{i}", f"The village library of {'abcdefghij'[i] * 4} sells bread.") for i in range(10))], "key string, host string, text string").withColumn("linkers", F.lit(None).cast("long"))
-    assert {r.key for r in stuffing.stuffed(df).collect()} == {"a"}
+    long = lambda w: " ".join(f"cheap {w}{i % 7}, buy {w}{i % 7}," for i in range(4000))
+    df = spark.createDataFrame([*((f"a{i}", f"g{i}", long("abcdefgh"[i] * 4)) for i in range(8)), *((f"b{i}", f"h{i}", f"The village library of {'abcdefghij'[i] * 4} sells bread.") for i in range(10))], "key string, host string, text string").withColumn("linkers", F.lit(None).cast("long"))
+    assert {r.key for r in stuffing.stuffed(df).collect()} == {f"a{i}" for i in range(8)}
 
 
 def test_languages_held_out():
