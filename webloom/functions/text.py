@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@F.pandas_udf("string")
+def nfc(texts: pd.Series) -> pd.Series:
+    """Letters and their marks as one sign where there is one; asked only of texts with marks (see composed)."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else None)
+
+
+def composed(df: DataFrame, *columns: str) -> DataFrame:
+    """df with the texts of columns in NFC: one Arrow pass, in which texts without marks go as they are."""
+    marked = lambda c: F.when(F.regexp_like(c, F.lit(r"\p{M}")), F.col(c))
+    return df.withColumns({c: F.coalesce(nfc(marked(c)), F.col(c)) for c in columns})
+
+
 def words(text: Column) -> Column:
     """Lower-case words: apostrophes vanish, any other sign separates, and runs of single letters become one word. Null gives null."""
     plain = F.regexp_replace(F.lower(text), r"['’ʼ\p{M}]", "")

@@ -27,19 +27,35 @@ def journal_latest(spark, d):
     return items.groupBy("id").agg(F.max("rev").alias("rev"), F.count_distinct("rev").alias("revisions"))
 
 
+# Least checked facts, usual accuracy and the checks it counts as, and the accuracy of a site wrong throughout.
+MIN_CHECKS, PRIOR, PRIOR_CHECKS, WRONG = 5, 0.97, 10, 0.5
+
+
+def accuracy(checks: Column, agrees: Column) -> Column:
+    """Smoothed share of right facts; null below MIN_CHECKS."""
+    return F.when(checks >= MIN_CHECKS, (F.least(agrees, checks) + PRIOR * PRIOR_CHECKS) / (checks + PRIOR_CHECKS))
+
+
 def signals(spark, d) -> DataFrame:
-    """Best ranks, largest counts, any official flag of each site; unknown ranks (not above 0) don't count."""
+    """Best ranks, largest counts, any official flag of each site; unknown ranks (not above 0) don't count.
+
+    Of several pairs of checked facts the one of the lowest accuracy counts, and none if any has too few checks.
+    """
     s = table(spark, d, "site_signals").filter("domain is not null")
     rank = lambda c: F.min(F.when(F.col(c) > 0, F.col(c))).alias(c)
     most = lambda c: F.max(c).alias(c)
-    facts = F.max(F.struct("observed_at", "received_at", "fact_checks", "fact_agrees"))
-    return s.groupBy("domain").agg(rank("harmonic_rank"), rank("pagerank_rank"), rank("tranco_rank"), most("linking_domains"), most("sitelinks"), F.bool_or("official_site").alias("official_site"), facts.alias("f")).select("*", F.col("f.fact_checks").alias("fact_checks"), F.col("f.fact_agrees").alias("fact_agrees")).drop("f")
+    checks, agrees = F.coalesce("fact_checks", F.lit(0)), F.coalesce("fact_agrees", F.lit(0))
+    s = s.withColumn("f", F.struct(accuracy(checks, agrees).alias("a"), checks.alias("c"), agrees.alias("g")))
+    worst, few = F.min("f").alias("f"), F.max((checks < MIN_CHECKS)).alias("few")
+    one = s.groupBy("domain").agg(rank("harmonic_rank"), rank("pagerank_rank"), rank("tranco_rank"), most("linking_domains"), most("sitelinks"), F.bool_or("official_site").alias("official_site"), worst, few)
+    fact = lambda c, name: F.when(F.col("few"), 0).otherwise(F.col(f"f.{c}")).alias(name)
+    return one.select("*", fact("c", "fact_checks"), fact("g", "fact_agrees")).drop("f", "few")
 
 
 def trust(checks: Column, agrees: Column) -> Column:
-    """Smoothed accuracy of a site's checked facts over the usual 0.97, from -1 to 1; 0 below five checks."""
-    a = (agrees + 0.97 * 10) / (checks + 10)
-    return F.when(checks >= 5, F.when(a >= 0.97, (a - 0.97) / 0.03).otherwise(F.greatest((a - 0.97) / 0.47, F.lit(-1.0)))).otherwise(0.0)
+    """How far a site's accuracy is from the usual one, from -1 to 1; 0 below MIN_CHECKS."""
+    a = accuracy(checks, agrees)
+    return F.when(a >= PRIOR, (a - PRIOR) / (1 - PRIOR)).when(a < PRIOR, F.greatest((a - PRIOR) / (PRIOR - WRONG), F.lit(-1.0))).otherwise(0.0)
 
 
 def with_link_score(sites: DataFrame) -> DataFrame:
@@ -104,8 +120,10 @@ def late_rows(spark, d):
 QUERIES = {f.__name__: f for f in (site_merge, journal_latest, link_score, top_sites, fact_trust, linker_estimate, link_names, link_texts, names_union, late_rows)}
 _SIGNALS = """s AS (SELECT domain, min(CASE WHEN harmonic_rank > 0 THEN harmonic_rank END) AS h, min(CASE WHEN pagerank_rank > 0 THEN pagerank_rank END) AS p, min(CASE WHEN tranco_rank > 0 THEN tranco_rank END) AS t,
   max(linking_domains) AS l, max(sitelinks) AS sl, bool_or(official_site) AS o FROM site_signals WHERE domain IS NOT NULL GROUP BY 1),
-f AS (SELECT domain, coalesce(fact_checks, 0) AS c, coalesce(fact_agrees, 0) AS g FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY observed_at DESC NULLS LAST, received_at DESC NULLS LAST, fact_checks DESC NULLS LAST, fact_agrees DESC NULLS LAST) AS rn FROM site_signals WHERE domain IS NOT NULL) WHERE rn = 1),
-tr AS (SELECT domain, c, CASE WHEN c >= 5 THEN CASE WHEN (g + 9.7) / (c + 10) >= 0.97 THEN ((g + 9.7) / (c + 10) - 0.97) / 0.03 ELSE greatest(((g + 9.7) / (c + 10) - 0.97) / 0.47, -1.0::DOUBLE) END ELSE 0.0 END::DOUBLE AS trust FROM f)"""
+fp AS (SELECT domain, coalesce(fact_checks, 0) AS c, least(coalesce(fact_agrees, 0), coalesce(fact_checks, 0)) AS g0, coalesce(fact_agrees, 0) AS g FROM site_signals WHERE domain IS NOT NULL),
+fr AS (SELECT *, min(c) OVER (PARTITION BY domain) AS least_c, row_number() OVER (PARTITION BY domain ORDER BY CASE WHEN c >= 5 THEN (g0 + 9.7::DOUBLE) / (c + 10) END NULLS FIRST, c, g) AS rn FROM fp),
+f AS (SELECT domain, CASE WHEN least_c < 5 THEN 0 ELSE c END AS c, CASE WHEN least_c < 5 THEN 0 ELSE g0 END AS g FROM fr WHERE rn = 1),
+tr AS (SELECT domain, c, CASE WHEN c >= 5 THEN CASE WHEN (g + 9.7::DOUBLE) / (c + 10) >= 0.97::DOUBLE THEN ((g + 9.7::DOUBLE) / (c + 10) - 0.97::DOUBLE) / (1 - 0.97::DOUBLE) ELSE greatest(((g + 9.7::DOUBLE) / (c + 10) - 0.97::DOUBLE) / (0.97::DOUBLE - 0.5), -1.0::DOUBLE) END ELSE 0.0 END::DOUBLE AS trust FROM f)"""
 _SCORE = """sc AS (SELECT domain, greatest(least(
   0.75 * coalesce(greatest(least(greatest(1 - ln(h) / ln(1e8), 0), 1), least(greatest(1 - ln(p) / ln(1e8), 0), 1), least(greatest(1 - ln(t) / ln(1e8), 0), 1)), 0)
   + 0.25 * least(ln(1 + coalesce(l, 0)) / ln(1 + 1e5), 1) + CASE WHEN o THEN 0.15 + 0.05 * least(ln(1 + coalesce(sl, 0)) / ln(201), 1) ELSE 0 END + 0.1 * trust, 1), 0)::DOUBLE AS score FROM s JOIN tr USING (domain))"""
