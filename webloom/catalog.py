@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from webloom.operators import evaluation, graph, identity, merge, search, usage
-from webloom.streaming import epochs
+import importlib
 
-_MODULES = (identity, merge, search, usage, graph, evaluation, epochs)
+_NAMES = ("operators.identity", "operators.strings", "operators.formats", "operators.merge", "operators.search", "operators.passes", "operators.usage", "operators.graph", "operators.evaluation", "streaming.epochs")
+_MODULES = [importlib.import_module(f"webloom.{n}") for n in _NAMES]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
 
 def flagship(spark, d):
-    """Sites found for each distinct query, by BM25 blended with popularity."""
-    return QUERIES["blended_top"](spark, d)
+    """Sites found for each distinct query: fielded retrieval, blended scores and all passes over the hits."""
+    return QUERIES["blended_full"](spark, d)

@@ -92,22 +92,7 @@ def named_domains(spark, d):
     return table(spark, d, "site_signals").filter("site_id is not null").groupBy("site_id").agg(F.max("domain").alias("domain"))
 
 
-def look_alikes(spark, d):
-    """Sites of one list whose hosts differ in an affix only; the most popular one stays."""
-    label = F.regexp_replace(F.regexp_replace(F.substring_index("domain", ".", 1), r"^(?:get|my|the)-", ""), r"-(?:shop|online|docs|lab|group)$", "")
-    scores = merge.with_link_score(merge.signals(spark, d)).select("domain", F.round("link_score", 4).alias("score"))
-    c = candidate_union(spark, d).join(named_domains(spark, d), "site_id").join(scores, "domain").select("query_id", "domain", "score", label.alias("label"))
-    w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "domain")
-    return c.withColumn("place", F.row_number().over(w)).filter("place > 1").select("query_id", "domain", "label")
-
-
-def title_copies(spark, d):
-    """Sites with another site's exact title: the title, how many share it, and the first of them."""
-    names = site_documents(spark, d).filter("name <> ''")
-    return names.groupBy("name").agg(F.count("*").alias("sites"), F.min("domain").alias("first_domain")).filter("sites > 1")
-
-
-QUERIES = {f.__name__: f for f in (postings, doc_lengths, term_stats, bm25_top, blended_top, coverage, candidate_union, look_alikes, title_copies)}
+QUERIES = {f.__name__: f for f in (postings, doc_lengths, term_stats, bm25_top, blended_top, coverage, candidate_union)}
 _DOCS = f"{merge.SQL['site_merge']}"
 _BASE = f"""items AS ({_DOCS}), meta AS (SELECT domain AS id, description, row_number() OVER (PARTITION BY domain ORDER BY fetched_at DESC NULLS LAST, meta_id DESC) AS rn FROM homepage_meta WHERE description IS NOT NULL),
 texts AS (SELECT items.*, description FROM items LEFT JOIN meta ON items.id = meta.id AND rn = 1), docs AS (SELECT id AS domain, array_to_string({T.words_sql('title')}, '') AS name, {T.words_sql("concat_ws(' ', title, about, description)")} AS words FROM texts),
@@ -116,7 +101,6 @@ whole AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM docs)"""
 _SCORED = f"""{_BASE}, q AS (SELECT DISTINCT query, list_distinct({T.words_sql('query')}) AS w FROM candidate_lists WHERE query IS NOT NULL), asked AS (SELECT query, unnest(w) AS term FROM q),
 hits AS (SELECT query, domain, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * length / mean))) AS score, count(*) AS matched FROM asked JOIN df USING (term) JOIN tf USING (term), whole GROUP BY 1, 2)"""
 _SITES = f"{merge._SIGNALS}, {merge._SCORE}"
-_AFFIX = "regexp_replace(regexp_replace(string_split(domain, '.')[1], '^(?:get|my|the)-', ''), '-(?:shop|online|docs|lab|group)$', '')"
 SQL = {
     "postings": f"WITH {_BASE} SELECT term, domain, tf FROM tf",
     "doc_lengths": f"WITH {_BASE} SELECT domain, coalesce(len(words), 0) AS length FROM docs",
@@ -125,6 +109,4 @@ SQL = {
     "blended_top": f"WITH {_SCORED}, {_SITES}, b AS (SELECT query, domain, round({ALPHA} * hits.score / max(hits.score) OVER (PARTITION BY query) + {1 - ALPHA} * coalesce(sc.score, 0) + CASE WHEN name = array_to_string({T.words_sql('query')}, '') THEN {EXACT} ELSE 0 END, 4) AS score FROM hits JOIN docs USING (domain) LEFT JOIN sc USING (domain)), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, domain) AS place FROM b) SELECT * FROM r WHERE place <= {TOP}",
     "coverage": f"WITH {_SCORED}, m AS (SELECT query, max(matched) AS matched FROM hits GROUP BY 1) SELECT q.query, len(w) AS words, round(coalesce(matched, 0) / greatest(len(w), 1), 4) AS coverage FROM q LEFT JOIN m USING (query)",
     "candidate_union": "SELECT query_id, site_id, count(DISTINCT found_by) AS ways, array_to_string(list_sort(list(DISTINCT found_by)), ',') AS found_by FROM candidate_lists WHERE query_id IS NOT NULL AND site_id IS NOT NULL GROUP BY 1, 2",
-    "look_alikes": f"WITH {_SITES}, n AS (SELECT site_id, max(domain) AS domain FROM site_signals WHERE site_id IS NOT NULL GROUP BY 1), c AS (SELECT DISTINCT query_id, site_id FROM candidate_lists WHERE query_id IS NOT NULL), l AS (SELECT query_id, domain, {_AFFIX} AS label, round(score, 4) AS score FROM c JOIN n USING (site_id) JOIN sc USING (domain)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, domain) AS place FROM l) SELECT query_id, domain, label FROM r WHERE place > 1",
-    "title_copies": f"WITH {_BASE} SELECT name, count(*) AS sites, min(domain) AS first_domain FROM docs WHERE name <> '' GROUP BY 1 HAVING count(*) > 1",
 }
