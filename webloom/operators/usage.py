@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.operators.ranking import count_before
 from webloom.sources.tables import table
 
 DAY = 86_400
@@ -85,12 +86,13 @@ def headline_retention(spark, d):
 
 
 def crawl_agreement(spark, d):
-    """Pairs of a view and an error with one key on one day: events that contradict each other within two days."""
-    e = events(spark, d)
-    a = e.filter("event_type = 'purchase'").select("k", F.col("at").alias("a"), F.col("epoch").alias("day"))
-    b = e.filter("event_type = 'error'").select("k", F.col("at").alias("b"), F.explode(F.array(F.col("epoch") - 2, F.col("epoch") - 1, F.col("epoch"), F.col("epoch") + 1, F.col("epoch") + 2)).alias("day"))
-    near = a.join(b, ["k", "day"]).filter(F.abs(F.col("a") - F.col("b")) <= 2 * DAY)
-    return near.groupBy("k").agg(F.count("*").alias("pairs"))
+    """Pairs of a purchase and an error of one key within two days, counted by exact ranks in time: no pair is made, whatever a key's share of the log."""
+    e = events(spark, d).filter("k is not null")
+    error = e.filter("event_type = 'error'").select("k", F.col("at").alias("t"), F.lit(1).alias("o"), "event_id", F.lit(1).alias("n"), F.lit(0).alias("sign"))
+    ends = F.explode(F.array(F.struct((F.col("at") - 2 * DAY).alias("t"), F.lit(0).alias("o"), F.lit(-1).alias("sign")), F.struct((F.col("at") + 2 * DAY).alias("t"), F.lit(2).alias("o"), F.lit(1).alias("sign")))).alias("x")
+    probe = e.filter("event_type = 'purchase'").select("k", "event_id", ends).select("k", "x.t", "x.o", "event_id", F.lit(0).alias("n"), "x.sign")
+    counted = count_before(error.union(probe), ["k"], ["t", "o", "event_id"], "n", "before")
+    return counted.groupBy("k").agg(F.sum(F.col("sign") * F.col("before")).alias("pairs")).filter("pairs > 0")
 
 
 QUERIES = {f.__name__: f for f in (daily_epoch_counts, weekly_tally, popularity_share, sessions, experiment_compare, passed_over, retry_backoff, credits_running, headline_retention, crawl_agreement)}
