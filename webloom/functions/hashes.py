@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Start and factor of FNV-1a, and the factors of the two final mixes.
 FNV_START, FNV_FACTOR = 0xCBF29CE484222325, 0x100000001B3
@@ -36,13 +37,13 @@ def mixed(h: np.ndarray, by: tuple[int, int, int, int, int]) -> np.ndarray:
         return h ^ (h >> np.uint64(by[4]))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def hash64(texts: pd.Series) -> pd.Series:
     """FNV-1a with the splitmix64 finish, as a signed number."""
     return pd.Series(mixed(fnv(texts), SPLITMIX).view(np.int64)).where(texts.notna().to_numpy())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def half_hash(texts: pd.Series) -> pd.Series:
     """FNV-1a with the Murmur finish."""
     return pd.Series(mixed(fnv(texts), MURMUR).view(np.int64)).where(texts.notna().to_numpy())

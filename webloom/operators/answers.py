@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from webloom.operators.strings import grouped_number
 from webloom.sources.tables import table
@@ -61,7 +62,7 @@ def calculated(text: str) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def calculator(texts: pd.Series) -> pd.Series:
     return pd.Series([calculated(t) if isinstance(t, str) else None for t in texts], dtype="float64")
 
