@@ -55,7 +55,7 @@ def _flat_path(p: Column) -> Column:
 
 def _parts(url: Column) -> dict[str, Column]:
     u = F.trim(url)
-    of = lambda n: F.regexp_extract(u, r"(?i)^(https?)://([^/?#@:\s]+)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(?:#.*)?$", n)
+    of = lambda n: F.regexp_extract(u, r"(?i)^(https?)://([^/?#@:\s]+)(?::([0-9]*))?((?:/[^?#]*)?)(\?[^#]*)?(?:#.*)?$", n)
     scheme, port = F.lower(of(1)), of(3)
     usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     query = _regular_percent(of(5).substr(F.lit(2), F.length(u)))
@@ -96,7 +96,7 @@ def path_sql(url: str) -> str:
 
 
 def _parts_sql(url: str) -> dict[str, str]:
-    of = lambda n: f"regexp_extract(trim({url}), '(?i)^(https?)://([^/?#@:\\s]+)(?::([0-9]*))?([^?#]*)(\\?[^#]*)?(?:#.*)?$', {n})"
+    of = lambda n: f"regexp_extract(trim({url}), '(?i)^(https?)://([^/?#@:\\s]+)(?::([0-9]*))?((?:/[^?#]*)?)(\\?[^#]*)?(?:#.*)?$', {n})"
     percent = lambda t: f"list_reduce(list_prepend('', string_split({t}, '%')), lambda a, x, i: CASE WHEN i = 2 THEN x WHEN regexp_matches(x, '^[0-9A-Fa-f]{{2}}') THEN a || CASE WHEN contains('{UNRESERVED}', chr(('0x' || x[1:2])::INT)) THEN chr(('0x' || x[1:2])::INT) ELSE '%' || upper(x[1:2]) END || x[3:] ELSE a || '%' || x END)"
     steps = f"string_split({percent(of(4))}, '/')"
     flat = f"'/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform({steps}[2:], lambda x: [x])), lambda a, x: CASE WHEN x[1] = '..' THEN a[:-2] WHEN x[1] = '.' THEN a ELSE a || x END), '/')"

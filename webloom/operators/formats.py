@@ -134,6 +134,8 @@ def set_parts(spark, d):
     items = table(spark, d, "site_items").filter("id is not null").dropDuplicates(["id", "rev"])
     manifest = W.write_set(items, 400, _at(spark, "set"))
     folder = manifest.rsplit("/", 1)[0]
+    if not R.set_parts(spark, manifest):
+        return spark.createDataFrame([], "part int, lines long, lightest double")
     rows = spark.read.text(f"{folder}/parts").select("part", F.get_json_object("value", "$.weight").cast("double").alias("w"))
     return rows.groupBy("part").agg(F.count("*").alias("lines"), F.min(F.coalesce("w", F.lit(0.0))).alias("lightest"))
 
@@ -187,7 +189,7 @@ def bucketed_keys(spark, d):
     """Sites kept under each key of the buckets, and the best of them."""
     sites = merge.with_link_score(merge.signals(spark, d)).select("domain", F.round("link_score", 5).alias("score"))
     titled = merge.site_merge(spark, d).select(F.col("id").alias("domain"), "title").join(sites, "domain")
-    got = spark.read.parquet(W.write_buckets(titled, 32, _at(spark, "buckets")))
+    got = spark.read.schema("domain string, score double, key string, place int, bucket int").parquet(W.write_buckets(titled, 32, _at(spark, "buckets")))
     return got.groupBy("key", "bucket").agg(F.count("*").alias("sites"), F.min_by("domain", "place").alias("best"))
 
 

@@ -153,11 +153,19 @@ def read_sql_dump(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.text(path).mapInPandas(rows, "row array<string>")
 
 
+def set_parts(spark: SparkSession, manifest: str) -> list[str]:
+    """The parts that a set's manifest names."""
+    read = spark.read.schema("version int, parts array<struct<name:string,lines:long>>").option("multiLine", True).json(manifest)
+    return [r.name for r in read.select(F.explode("parts").alias("p")).select("p.name").collect()]
+
+
 def read_set(spark: SparkSession, manifest: str) -> DataFrame:
     """Items of a set: the parts its manifest (JSON: parts, each with name and lines) names, without tombstones; of an item's revisions the newest."""
     folder = manifest.rsplit("/", 1)[0]
-    parts = spark.read.option("multiLine", True).json(manifest).select(F.explode("parts").alias("p")).select("p.name").collect()  # one row a part of the manifest
-    rows = read_items(spark, [f"{folder}/{p.name}" for p in parts], ITEM + ", gone boolean")
+    parts = set_parts(spark, manifest)
+    if not parts:
+        return spark.createDataFrame([], ITEM)
+    rows = read_items(spark, [f"{folder}/{p}" for p in parts], ITEM + ", gone boolean")
     newest = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), F.struct("rev", F.coalesce("gone", F.lit(False)))).alias("x"))
     return newest.filter("not coalesce(x.gone, false)").select("id", "x.*").drop("gone")
 
