@@ -250,5 +250,15 @@ def p4_main_text(spark, d):
     return read.union(fixtures.select(F.lit(None).cast("long"), "id", "main_text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_main_text": p4_main_text}
+def p4_fixtures(spark, d):
+    """Of each HTML fixture: phrases that its main text must hold and those held, phrases that it must not hold and those gone."""
+    fixtures = table(spark, d, "boilerplate_fixtures")
+    text = fixture_text(table(spark, d, "read_pages"), fixtures)
+    plain = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("main_text", F.lit("")), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\s+", " "))
+    rows = fixtures.filter("id is not null").select("id", "must_keep", "must_drop").join(text, "id", "left").withColumn("plain", plain)
+    held = lambda c: F.size(F.filter(c, lambda p: F.contains("plain", F.lower(p))))
+    return rows.select("id", F.size("must_keep").alias("keep"), held("must_keep").alias("kept"), F.size("must_drop").alias("drop"), (F.size("must_drop") - held("must_drop")).alias("dropped"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_main_text": p4_main_text, "p4_fixtures": p4_fixtures}
 SQL: dict[str, str] = {}
