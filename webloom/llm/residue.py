@@ -66,7 +66,7 @@ BARE = re.compile(r"\d\s+[-–:|]|(?<![^\W_])(?:sed|esse)(?![^\W_])")
 
 
 # What messages of systems rather than of sites speak of: for forms that recur in WIDE sources, where half a form's words are enough.
-CUES = r"access|account|address|admin\w*|anmelden|application|back|browser|cache|code|connection|connexion|content|cookies|database|denied|device|disabled|down|empty|enable|error|erreur|errore|exception|expired|failed|failure|fehler|file|gone|host|invalid|javascript|load|loading|login|maintenance|missing|mode|moved|not|null|offline|out|page|página|pagina|password|please|plugin|redirect\w*|refresh|reload|request|resource|response|retry|scripts?|seite|server|service|session|site|strona|suspended|system|template|temporarily|test|timed|timeout|try|unable|unavailable|unsupported|update|upgrade|url|user|verify|version|wait|website|страница|ошибка|сервер"
+CUES = """access account address admin administrator administration anmelden application back browser cache code connection connexion content cookies database denied device disabled down empty enable error erreur errore exception expired failed failure fehler file gone host invalid javascript load loading login maintenance missing mode moved not null offline out page página pagina password please plugin redirect redirected redirecting refresh reload request resource response retry script scripts seite server service session site strona suspended system template temporarily test timed timeout try unable unavailable unsupported update upgrade url user verify version wait website страница ошибка сервер""".split()
 
 
 def literals():
@@ -120,13 +120,14 @@ def _plain_form(text: Column) -> Column:
 
 
 def recurring(units: DataFrame, text: str, source: str) -> DataFrame:
-    """The masked forms (f) that recur in at least WIDE sources, don't name their host, and half of whose words are CUES."""
-    form = _plain_form(F.col(text))
+    """The units whose masked form recurs in at least WIDE sources that it doesn't name, and holds CUES in half of its words."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
+    cues = F.size(F.filter("w", lambda w: w.isin(*CUES)))
+    rows = units.withColumn("w", words).filter((cues > 0) & (2 * cues >= F.size("w")))
     host = F.regexp_replace(F.lower(F.coalesce(F.col(source), F.lit(""))), "[^a-z]", "")
-    named = F.exists(F.split(form, r"[^\p{L}]+"), lambda w: (F.length(w) >= 4) & F.contains(host, w))
-    words, cues = F.regexp_count(form, F.lit(r"\p{L}{2,}")), F.regexp_count(form, F.lit(rf"(?<![\p{{L}}\d])(?:{CUES})(?![\p{{L}}\d])"))
-    forms = units.select(form.alias("f"), F.col(source).alias("s"), words.alias("w"), cues.alias("c"), named.alias("named")).filter("c > 0 and 2 * c >= w and not named")
-    return forms.groupBy("f").agg(F.countDistinct("s").alias("n")).filter(F.col("n") >= WIDE).select("f")
+    rows = keep(rows.withColumn("named", F.exists("w", lambda w: (F.length(w) >= 4) & F.contains(host, w))).withColumn("f", _plain_form(F.col(text))))
+    wide = rows.filter("not named").groupBy("f").agg(F.countDistinct(source).alias("n")).filter(F.col("n") >= WIDE).select("f")
+    return rows.join(wide, "f", "left_semi").select(units.columns)
 
 
 def messages(units: DataFrame, text: str, source: str, whole: bool = False) -> DataFrame:
@@ -153,7 +154,7 @@ def messages(units: DataFrame, text: str, source: str, whole: bool = False) -> D
     found = joined.select(*units.columns, "open", F.coalesce("_bad", F.lit(False)).alias("residue")).filter("open or residue")
     if not whole:
         return found
-    more = units.withColumn("f", _plain_form(t)).join(recurring(units, text, source), "f", "left_semi").select(*units.columns, F.lit(False).alias("open"), F.lit(True).alias("residue"))
+    more = recurring(units, text, source).select(*units.columns, F.lit(False).alias("open"), F.lit(True).alias("residue"))
     return found.union(more).groupBy(*units.columns).agg(F.bool_or("open").alias("open"), F.bool_or("residue").alias("residue"))
 
 
