@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _NAMES = (
-    "operators.identity", "operators.strings", "operators.extraction", "operators.formats", "operators.merge", "operators.sites", "operators.search", "operators.passes", "operators.understanding", "operators.spelling", "operators.pages",
+    "operators.identity", "operators.strings", "operators.extraction", "operators.formats", "operators.merge", "operators.sites", "operators.search", "operators.passes", "operators.candidates", "operators.understanding", "operators.spelling", "operators.pages",
     "operators.learned", "operators.usage", "operators.clicks", "operators.graph", "operators.evaluation", "operators.quality", "operators.vectors", "operators.places", "operators.answers", "streaming.epochs",
 )
 _MODULES = [importlib.import_module(f"webloom.{n}") for n in _NAMES]
