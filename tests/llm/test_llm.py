@@ -31,6 +31,14 @@ def test_median_rank_nulls_ties_repeats(spark):
     assert rank_fusion.median_rank(df.limit(0), "q", "s", {"a": ("low", 1.0)}).count() == 0
 
 
+def test_ranks_of_shared_values_are_the_same_when_sent(spark, monkeypatch):
+    df = spark.range(200).select(F.lit(1).alias("q"), F.col("id").cast("int").alias("s"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("a"), (F.col("id") % 2).alias("b"))
+    placed = lambda: {r.s: r.place for r in rank_fusion.median_rank(df, "q", "s", {"a": ("low", 1.0), "b": ("high", 1.0)}).collect()}
+    want = placed()
+    monkeypatch.setattr(rank_fusion, "HOT", 50)
+    assert placed() == want and sorted(want.values()) == list(range(1, 201))
+
+
 def test_weighted_median_follows_the_heavier_score(spark):
     df = spark.createDataFrame([(1, 1, 1.0, 9.0), (1, 2, 2.0, 1.0)], "q int, s int, a double, b double")
     top = rank_fusion.median_rank(df, "q", "s", {"a": ("low", 3.0), "b": ("low", 1.0)}).filter("place = 1").first()

@@ -11,6 +11,8 @@ from webloom.operators.ranking import count_before
 from webloom.plans.lineage import keep
 from webloom.sources.tables import table
 
+#: Rows of a list that share a value from which on its rank is sent to them.
+HOT = 50_000
 SCORES = {"tranco_rank": ("low", 1.0), "linking_domains": ("high", 1.0), "harmonic_rank": ("low", 1.0), "fact_checks": ("high", 1.0)}
 
 
@@ -32,9 +34,13 @@ def median_rank(items: DataFrame, group: str, item: str, scores: Mapping[str, tu
     entry = F.posexplode(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(float("inf"))) for c in names])).alias("s", "v")
     long = rows.select("g", "i", entry)
     values = count_before(long.groupBy("g", "s", "v").agg(F.count("*").alias("n")), ["g", "s"], ["v"], "n", "before")
-    ranks = values.select("g", "s", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+    ranks = keep(values.select("g", "s", "v", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")))
+    # values that HOT rows and more share (such as the missing ones of a long list) would gather in one task: they are at most rows / HOT, and go to the rows
+    hot = long.join(F.broadcast(ranks.filter(F.col("n") >= HOT).drop("n")), ["g", "s", "v"], "left")
+    rest = hot.filter("rank is null").drop("rank").join(ranks.filter(F.col("n") < HOT).drop("n"), ["g", "s", "v"])
+    ranked = hot.filter("rank is not null").unionByName(rest)
     weights = F.element_at(F.array(*[F.lit(float(w)) for _, w in scores.values()]), F.col("s") + 1)
-    each = long.join(ranks, ["g", "s", "v"]).withColumn("w", weights)
+    each = ranked.withColumn("w", weights)
     one = each.groupBy("g", "i").agg(
         F.sort_array(F.collect_list(F.struct("rank", "w"))).alias("rw"),  # one entry per score
         (F.sum(F.col("rank") * F.col("w")) / F.sum("w")).alias("mean_rank"),
