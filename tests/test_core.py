@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from webloom.functions import urls as U
-from webloom.operators import answers, clicks, graph, learned, places, strings, understanding, vectors
+from webloom.operators import answers, clicks, graph, learned, places, search, strings, understanding, vectors
 from webloom.sources import readers
 from webloom.streaming import epochs
 
@@ -110,6 +111,12 @@ def test_trees_learn_an_order(spark):
     assert learned.lambda_mart(df.limit(0), ["a", "b"]) == [] and trees == learned.lambda_mart(df, ["a", "b"])
 
 
+def test_posting_blocks_change_no_score(spark, monkeypatch):
+    want = {(r.query, r.domain): round(r.score, 6) for r in search.scored(spark, DATA).collect()}
+    monkeypatch.setattr(search, "BLOCK", 7)
+    assert {(r.query, r.domain): round(r.score, 6) for r in search.scored(spark, DATA).collect()} == want
+
+
 def test_calculator():
     cases = {"2 + 3 * 4": 14, "15% of 80": 12, "2^10": 1024, "5!": 120, "7 plus 3": 10, "sqrt(16)": 4, "(1": None, "1/0": None, "__import__('os')": None, "9^9^9^9": None, "": None, "12": None}
     assert {k: answers.calculated(k) for k in cases} == cases

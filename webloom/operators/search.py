@@ -10,6 +10,8 @@ from webloom.operators import merge
 from webloom.sources.tables import table
 
 K1, B = 1.2, 0.75
+#: Postings of a word that one task meets.
+BLOCK = 50_000
 #: Weight of the text score against popularity, bonus of an exact name, and rows of a result list.
 ALPHA, EXACT, TOP = 0.35, 0.25, 10
 
@@ -48,7 +50,11 @@ def scored(spark, d) -> DataFrame:
     tf = docs.select("domain", "length", F.explode("words").alias("term")).groupBy("term", "domain", "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     asked = _queries(spark, d).select("query", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
-    hits = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(whole))  # one row
+    # the postings of a word that BLOCK sites and more hold are met in blocks, so that no common word gathers all queries and sites in one task
+    parts = F.floor(F.col("df") / BLOCK)
+    asked = asked.join(df, "term").select("query", "term", "df", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
+    tf = tf.join(df.select("term", (parts + 1).alias("parts")), "term").withColumn("part", F.pmod(F.xxhash64("domain"), F.col("parts")))
+    hits = asked.join(tf, ["term", "part"]).crossJoin(F.broadcast(whole))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return hits.groupBy("query", "domain").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
