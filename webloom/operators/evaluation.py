@@ -1,4 +1,4 @@
-"""Offline evaluation, spelling statistics, quantized vectors, places and small answers."""
+"""Offline evaluation, spelling statistics and quantized vectors."""
 
 from __future__ import annotations
 
@@ -57,19 +57,6 @@ def unigram_counts(spark, d):
     return unigrams(spark, d)
 
 
-def word_fixes(spark, d):
-    """Rare words one letter away from a word of the same first letter that is twenty times as frequent, both of unaccented letters.
-
-    Words meet in the forms that one letter less makes of them, so no pair of words is compared without cause.
-    """
-    u = unigrams(spark, d).filter((F.length("word") >= 4) & F.regexp_like("word", F.lit("^[a-z0-9]+$")))
-    less = lambda w: F.array_distinct(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
-    known = u.filter("n >= 20").select(F.col("word").alias("fix"), F.col("n").alias("fix_n"), F.explode(less(F.col("word"))).alias("form"))
-    rare = u.filter("n <= 3").select("word", "n", F.explode(less(F.col("word"))).alias("form"))
-    near = rare.join(known, "form").filter((F.substring("word", 1, 1) == F.substring("fix", 1, 1)) & (F.col("fix_n") >= 20 * F.col("n"))).select("word", "fix", "n", "fix_n").distinct()
-    return near.filter(F.levenshtein("word", "fix") == 1)
-
-
 def quantized(spark, d):
     """Vectors of one byte a value, and what they lose in length."""
     q = F.transform("embedding", lambda x: F.round(x * 127).cast("tinyint"))
@@ -86,50 +73,9 @@ def label_centroids(spark, d):
     return means.withColumn("mean", F.when(F.col("mean") == 0, 0.0).otherwise(F.col("mean")))  # no negative zero
 
 
-def _places(spark, d) -> DataFrame:
-    """The nations as places, on a made-up grid that their keys give."""
-    lat, lon = (F.col("n_nationkey") * 37) % 160 - 80, (F.col("n_nationkey") * 71) % 340 - 170
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_regionkey").alias("region"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"))
-
-
-def haversine(spark, d):
-    """Kilometres between the places of one region."""
-    a = _places(spark, d)
-    b = a.select(F.col("place").alias("other"), "region", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    half = lambda x, y: F.pow(F.sin(F.radians(F.col(y) - F.col(x)) / 2), F.lit(2))
-    h = half("lat", "lat2") + F.cos(F.radians("lat")) * F.cos(F.radians("lat2")) * half("lon", "lon2")
-    return a.join(b, "region").filter("place < other").select("place", "other", F.round(2 * 6371.0088 * F.asin(F.sqrt(F.least(h, F.lit(1.0)))), 2).alias("km"))
-
-
-def cells(spark, d):
-    """The tenth-of-a-degree cell of each place and its eight neighbours, columns wrapping at 180 degrees."""
-    p = _places(spark, d).select("place", F.floor(F.col("lat") * 10).alias("y"), F.floor(F.col("lon") * 10).alias("x"))
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    rows = p.select("place", "x", F.explode(F.transform(steps, lambda i: F.col("y") + i)).alias("cell_y"), "y")
-    return rows.select("place", "cell_y", F.explode(F.transform(steps, lambda i: F.pmod(F.col("x") + i + 1800, F.lit(3600)) - 1800)).alias("cell_x"))
-
-
-def easter_sundays(spark, d):
-    """Easter of each year that an order was made in, by the Gregorian rule."""
-    y = table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct()
-    div, c = (lambda a, b: F.floor(a / b)), F.col
-    y = y.withColumn("a", c("y") % 19).withColumn("b", div(c("y"), 100)).withColumn("c", c("y") % 100)
-    y = y.withColumn("h", (19 * c("a") + c("b") - div(c("b"), 4) - div(c("b") - div(c("b") + 8, 25) + 1, 3) + 15) % 30)
-    y = y.withColumn("l", (32 + 2 * (c("b") % 4) + 2 * div(c("c"), 4) - c("h") - c("c") % 4) % 7)
-    y = y.withColumn("m", div(c("a") + 11 * c("h") + 22 * c("l"), 451)).withColumn("s", c("h") + c("l") - 7 * c("m") + 114)
-    return y.select(c("y").cast("int").alias("year"), div(c("s"), 31).cast("int").alias("month"), (c("s") % 31 + 1).cast("int").alias("day"))
-
-
-def unit_answers(spark, d):
-    """Sizes of parts in inches as centimetres, and the price of a gram if a part weighs its size in ounces."""
-    p = table(spark, d, "part")
-    return p.select("p_partkey", F.round(F.col("p_size") * 2.54, 2).alias("cm"), F.round(F.col("p_retailprice") / (F.col("p_size") * 28.349523125), 4).alias("gram_price"))
-
-
-QUERIES = {f.__name__: f for f in (contract_summary, ndcg10, mrr_by_suite, judge_counts, unigram_counts, word_fixes, quantized, label_centroids, haversine, cells, easter_sundays, unit_answers)}
+QUERIES = {f.__name__: f for f in (contract_summary, ndcg10, mrr_by_suite, judge_counts, unigram_counts, quantized, label_centroids)}
 _SITES = f"{merge._SIGNALS}, {merge._SCORE}"
 _GRADED = f"{_SITES}, x AS (SELECT case_id, unnest(relevant) AS r FROM audit_cases WHERE case_id IS NOT NULL), a AS (SELECT case_id, r.identity AS domain, max(r.grade) AS grade FROM x GROUP BY 1, 2), g AS (SELECT a.*, l, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(round(score, 5), 0) DESC, domain) AS place, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, domain) AS best, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(l, 0) DESC, domain) AS other FROM a LEFT JOIN sc USING (domain) LEFT JOIN s USING (domain))"
-_PLACES = "p AS (SELECT n_nationkey AS place, n_regionkey AS region, ((n_nationkey * 37) % 160 - 80)::DOUBLE AS lat, ((n_nationkey * 71) % 340 - 170)::DOUBLE AS lon FROM nation)"
 _UNIGRAMS = f"t AS (SELECT unnest(list_distinct({T.words_sql("concat_ws(' ', title, description)")})) AS word FROM homepage_meta), u AS (SELECT word, count(*) AS n FROM t GROUP BY 1)"
 SQL = {
     "contract_summary": "SELECT coalesce(label_status, 'none') AS status, coalesce(category, 'none') AS category, count(*) AS cases, count(*) FILTER (len(relevant) > 0) AS with_answers, count(DISTINCT query) AS queries FROM audit_cases GROUP BY 1, 2",
@@ -137,11 +83,6 @@ SQL = {
     "mrr_by_suite": f"WITH {_GRADED}, m AS (SELECT case_id, min(place) AS place FROM g WHERE grade >= 2 GROUP BY 1) SELECT coalesce(suite, 'none') AS suite, count(*) AS cases, round(avg(coalesce(1.0::DOUBLE / place, 0)), 5) AS mrr FROM audit_cases LEFT JOIN m USING (case_id) WHERE case_id IS NOT NULL AND len(relevant) > 0 GROUP BY 1",
     "judge_counts": f"WITH {_GRADED}, m AS (SELECT case_id, min(place) AS a, min(other) AS b FROM g WHERE grade >= 2 GROUP BY 1) SELECT CASE WHEN b < a THEN 'gained' WHEN b > a THEN 'lost' ELSE 'same' END AS move, count(*) AS cases FROM m GROUP BY 1",
     "unigram_counts": f"WITH {_UNIGRAMS} SELECT word, n FROM u",
-    "word_fixes": f"WITH {_UNIGRAMS}, k AS (SELECT * FROM u WHERE length(word) >= 4 AND regexp_matches(word, '^[a-z0-9]+$')) SELECT a.word, b.word AS fix, a.n, b.n AS fix_n FROM k a JOIN k b ON a.word[1] = b.word[1] AND a.n <= 3 AND b.n >= 20 AND b.n >= 20 * a.n AND abs(length(a.word) - length(b.word)) <= 1 WHERE levenshtein(a.word, b.word) = 1",
     "quantized": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x * 127)::INT) AS q FROM embeddings) SELECT vec_id, list_sum(q)::BIGINT AS total, list_sum(list_transform(q, lambda x: x * x))::BIGINT AS squares FROM v",
     "label_centroids": "WITH v AS (SELECT label, unnest(range(0, len(embedding))) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, place, round(avg(x), 4) AS mean FROM v GROUP BY 1, 2) SELECT label, place, CASE WHEN mean = 0 THEN 0.0 ELSE mean END AS mean FROM m",
-    "haversine": f"WITH {_PLACES} SELECT a.place, b.place AS other, round(2 * 6371.0088 * asin(sqrt(least(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2), 1))), 2) AS km FROM p a JOIN p b ON a.region = b.region AND a.place < b.place",
-    "cells": f"WITH {_PLACES}, i AS (SELECT unnest([-1, 0, 1]) AS i), j AS (SELECT unnest([-1, 0, 1]) AS j) SELECT place, (floor(lat * 10) + i)::BIGINT AS cell_y, (((floor(lon * 10)::BIGINT + j + 1800) % 3600 + 3600) % 3600 - 1800)::BIGINT AS cell_x FROM p, i, j",
-    "easter_sundays": "WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), a AS (SELECT *, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a), l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h), s AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS s FROM l) SELECT y::INT AS year, (s // 31)::INT AS month, (s % 31 + 1)::INT AS day FROM s",
-    "unit_answers": "SELECT p_partkey, round(p_size * 2.54::DOUBLE, 2) AS cm, round(p_retailprice / (p_size * 28.349523125::DOUBLE), 4) AS gram_price FROM part",
 }
