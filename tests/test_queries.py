@@ -4,6 +4,7 @@ import importlib
 import subprocess
 import sys
 
+import duckdb
 import pytest
 
 from tests.conftest import DATA, rows
@@ -18,6 +19,26 @@ def test_query_equals_sql(spark, oracle, name):
     assert rows(got) == rows(want)
 
 
+def _exact(frame):
+    return sorted(frame[sorted(frame.columns)].itertuples(index=False, name=None), key=repr)
+
+
+def test_page_scores_equal_sql_to_the_last_place(spark, oracle):
+    got = catalog.QUERIES["page_scores"](spark, DATA).toPandas()
+    assert _exact(got) == _exact(oracle.execute(catalog.SQL["page_scores"]).fetchdf())
+
+
+@pytest.mark.parametrize("titles", [[f"corner x{i}" for i in range(400)], [" ".join(f"w{i}" for i in range(63))], ["\u3000Mill Lane\xa0", " Mill Lane ", "Mill\xa0Lane\n", "Mill \t", "Mill\xa0\n"]], ids=["scores", "names", "blanks"])
+def test_page_scores_of_odd_titles_equal_sql(spark, tmp_path, titles):
+    """Half way between two numbers of five places lie some scores, and the name of 63 of a query's 64 words; blanks are of many kinds."""
+    data = [(20 * i, t, 31 * i + 31, "docs", "a.example", "en") for i, t in enumerate(titles)]
+    spark.createDataFrame(data, "doc_id long, title string, n_chars long, source string, site string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES["page_scores"](spark, str(tmp_path)).toPandas()
+    assert _exact(got) == _exact(c.execute(catalog.SQL["page_scores"]).fetchdf())
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) - set(catalog.SQL) == {"fitted_bias", "trained_order"}  # iterations, see test_core
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import text as T
@@ -20,6 +20,11 @@ def pages(spark, d) -> DataFrame:
     return p.select(F.col("doc_id").alias("page"), "title", T.joined(F.col("title")).alias("key"), T.joined(F.substring_index("title", " ", 2)).alias("short"), F.coalesce("n_chars", F.lit(0)).alias("views"), F.coalesce("source", F.lit("none")).alias("set"), "site", "lang").filter("key <> ''")
 
 
+def _rounded(x: Column) -> Column:
+    """x to five places as SQL rounds a double, by its product with 1e5; F.round goes by the written digits, and parts from it at halves."""
+    return F.round(x * 1e5) / 1e5
+
+
 def popularity(p: DataFrame) -> DataFrame:
     """p with popularity: the logarithm of its readers over that of the most read page of its set."""
     most = p.groupBy("set").agg(F.max("views").alias("_most"))
@@ -27,8 +32,9 @@ def popularity(p: DataFrame) -> DataFrame:
 
 
 def _asked(spark, d) -> DataFrame:
-    """Queries: titles of pages whose id is divisible by 20, alone, with a word more, as "the ...", and inside others."""
-    t = pages(spark, d).filter("page % 20 = 0").select(F.trim("title").alias("t")).distinct()
+    """Queries: titles of pages whose id is divisible by 20, alone, with a word more, as "the ...", and inside others.
+    All blanks of Unicode go from the ends of a title, as by trim in SQL; F.trim takes the plain one alone."""
+    t = pages(spark, d).filter("page % 20 = 0").select(F.regexp_replace("title", r"^\p{Zs}+|\p{Zs}+\z", "").alias("t")).distinct()
     forms = F.array("t", F.concat("t", F.lit(" reviews")), F.concat(F.lit("the "), "t"), F.concat(F.lit("where is "), "t", F.lit(" now")), F.substring_index("t", " ", 2))
     return t.select(F.explode(forms).alias("query")).distinct()
 
@@ -51,7 +57,7 @@ def named_pages(spark, d) -> DataFrame:
     names = p.select("page", "key", F.lit(TITLE).alias("mark")).union(p.filter("short <> key and short <> ''").select("page", F.col("short").alias("key"), F.lit(ALIAS).alias("mark")))
     hits = q.join(names, "key")
     name = F.when(F.col("n") == F.col("words"), F.col("mark")).otherwise(PARTIAL * F.col("mark") * F.col("n") / F.col("words"))
-    return hits.groupBy("query", "page").agg(F.round(F.max(name), 5).alias("name"))
+    return hits.groupBy("query", "page").agg(_rounded(F.max(name)).alias("name"))
 
 
 def page_names(spark, d):
@@ -61,7 +67,7 @@ def page_names(spark, d):
 def page_scores(spark, d) -> DataFrame:
     """The ten best pages of each query: its name times a half and half its popularity."""
     s = named_pages(spark, d).join(popularity(pages(spark, d)).select("page", "popularity", "set"), "page")
-    s = s.select("query", "page", "set", "name", F.round(F.col("name") * (1 - SHARE + SHARE * F.col("popularity")), 5).alias("score"))
+    s = s.select("query", "page", "set", "name", _rounded(F.col("name") * (1 - SHARE + SHARE * F.col("popularity"))).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "page")
     return s.withColumn("place", F.row_number().over(w)).filter("place <= 10")
 
