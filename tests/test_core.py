@@ -170,3 +170,9 @@ def test_cells_cover_the_circle(spark, km):
         return 2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
 
     assert got == {(i, j) for i, a, b in pts for j, c, d in near if round(dist(a, b, c, d), 3) <= km}
+
+
+@pytest.mark.parametrize("km", [0.3, 60.0, 80.0])
+def test_a_circle_meets_few_cells(spark, km):
+    df = spark.createDataFrame([(float(lat), float(lon)) for lat in range(-80, 81, 5) for lon in (-180, -0.03, 179.99)], "lat double, lon double")
+    assert df.select(F.max(F.size(places.cells_around(F.col("lat"), F.col("lon"), km)))).first()[0] <= 9

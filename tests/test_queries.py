@@ -1,6 +1,7 @@
 """Every core query against its SQL on the smallest data."""
 
 import importlib
+import re
 import subprocess
 import sys
 
@@ -56,3 +57,16 @@ def test_core_stands_alone():
     code = "import sys; sys.modules['webloom.llm'] = None; import webloom.catalog, webloom.operators.ranking"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
     importlib.import_module("__spark_entry__")
+
+
+def _exploded_broadcasts(df):
+    """Broadcasts in a plan of what was exploded just for them: a planner takes it for as small as it was before."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(re.match(r"[ :+-]*", x)[0]) for x in lines]
+    below = [next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines)) for i in range(len(lines))]
+    return [x for i, x in enumerate(lines) if "BroadcastExchange" in x and "Generate " in (under := "\n".join(lines[i : below[i]])) and "Join" not in under]
+
+
+@pytest.mark.parametrize("name", ["local_first"])
+def test_what_is_exploded_is_not_broadcast(spark, name):
+    assert not _exploded_broadcasts(catalog.QUERIES[name](spark, DATA))

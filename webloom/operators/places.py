@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.operators.spelling import near_words
 from webloom.sources.tables import table
 
-# Kilometres of the earth's radius and of a degree, degrees of a cell, tiers of kinds, size of a tier, and kilometres of doubles.
-RADIUS, DEGREE, CELL, TIER, SAME_KM = 6371.0088, 111.2, 0.1, 1_000_000, 0.3
+# Kilometres of the earth's radius, least degrees of a cell, tiers of kinds, size of a tier, and kilometres of doubles.
+RADIUS, CELL, TIER, SAME_KM = 6371.0088, 0.1, 1_000_000, 0.3
 TIERS = {"city": 9, "town": 8, "landmark": 7, "suburb": 5, "shop": 4, "village": 3, "quarter": 2}
 KINDS = list(TIERS)
 
@@ -27,14 +29,49 @@ def place_rank(kind: Column, population: Column, tags: Column) -> Column:
     return (tier * TIER + F.least(F.floor(inner), F.lit(TIER - 1))).cast("long")
 
 
+def _bands(km: float) -> tuple[float, float, list[int]]:
+    """For circles of so many kilometres (a metre more, as distances are rounded): their radius in degrees, the height of bands of latitude,
+    and the columns of each band from south to north. Band and column are as wide as the radius or wider, so that a circle meets nine cells at most
+    (a few more next to the poles, where a band is one column)."""
+    reach = math.degrees((km + 0.001) / RADIUS)
+    high = max(reach, CELL)
+
+    def columns(j: int) -> int:
+        edge = max(abs(j * high - 90), abs((j + 1) * high - 90))
+        return 1 if edge + high >= 90 else int(360 // math.degrees(math.asin(math.sin(math.radians(high)) / math.cos(math.radians(edge)))))
+
+    return reach, high, [columns(j) for j in range(math.ceil(180 / high))]
+
+
+def _row(lat: Column, high: float, columns: list[int]) -> Column:
+    return F.least(F.greatest(F.floor((lat + 90) / high), F.lit(0)), F.lit(len(columns) - 1)).cast("int")
+
+
+def _turns(lon: Column, n: Column) -> Column:
+    """Number of the column, of n around the earth; beyond 180 degrees it goes on."""
+    return F.floor((lon + 180) * n / 360)
+
+
+def cell_of(lat: Column, lon: Column, km: float) -> Column:
+    """The cell (y, x) of a place, among those for circles of so many kilometres."""
+    _, high, columns = _bands(km)
+    y = _row(lat, high, columns)
+    n = F.get(F.lit(columns), y)
+    return F.struct(y.alias("y"), F.pmod(_turns(lon, n), n).alias("x"))
+
+
 def cells_around(lat: Column, lon: Column, km: float) -> Column:
-    """Cells (y, x) that cover a circle: rows by degrees, columns by the cosine of the latitude (0.05 at least), wrapping at 180 degrees."""
-    rows = int(-(-km // (DEGREE * CELL))) if km else 0
-    y = F.floor(lat / CELL)
-    width = F.ceil(F.lit(km) / (DEGREE * CELL * F.greatest(F.cos(F.radians(lat)), F.lit(0.05))))
-    x = F.floor(lon / CELL)
-    across = F.array_distinct(F.transform(F.sequence(-F.least(width, F.lit(1800)), F.least(width, F.lit(1800))), lambda i: F.pmod(x + i + 1800, F.lit(3600)) - 1800))
-    return F.flatten(F.transform(F.sequence(F.lit(-rows), F.lit(rows)), lambda j: F.transform(across, lambda c: F.struct((y + j).alias("y"), c.alias("x")))))
+    """Cells (y, x) that cover a circle, wrapping at 180 degrees; all of a band whose pole the circle reaches."""
+    reach, high, columns = _bands(km)
+    spare = 1e-9  # degrees, for what is rounded
+    width = F.when(F.abs(lat) + reach >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(math.sin(math.radians(min(reach, 90.0))) / F.cos(F.radians(lat)), F.lit(1.0))))) + spare
+
+    def across(y: Column) -> Column:
+        n = F.get(F.lit(columns), y)
+        first = _turns(lon - width, n)
+        return F.transform(F.sequence(first, F.least(_turns(lon + width, n), first + n - 1)), lambda x: F.struct(y.alias("y"), F.pmod(x, n).alias("x")))
+
+    return F.flatten(F.transform(F.sequence(_row(lat - reach - spare, high, columns), _row(lat + reach + spare, high, columns)), across))
 
 
 def places(spark, d) -> DataFrame:
@@ -45,10 +82,11 @@ def places(spark, d) -> DataFrame:
 
 
 def around(points: DataFrame, rows: DataFrame, km: float) -> DataFrame:
-    """point, place, km: rows within so many kilometres of each point (point, lat, lon), met through the cells that cover the circle."""
+    """point, place, km: rows within so many kilometres of each point (point, lat, lon), met through the cells that cover the circle.
+    The join is told to sort: a planner takes the exploded points for as small as the points, and would broadcast them."""
     cut = points.select("point", F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(cells_around(F.col("lat"), F.col("lon"), km)).alias("c")).select("point", "la", "lo", F.col("c.y").alias("y"), F.col("c.x").alias("x"))
-    held = rows.withColumn("y", F.floor(F.col("lat") / CELL)).withColumn("x", F.floor(F.col("lon") / CELL))
-    near = cut.join(held, ["y", "x"]).withColumn("km", F.round(distance_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")), 3))
+    held = rows.withColumn("c", cell_of(F.col("lat"), F.col("lon"), km)).select("place", "lat", "lon", F.col("c.y").alias("y"), F.col("c.x").alias("x"))
+    near = cut.hint("merge").join(held, ["y", "x"]).withColumn("km", F.round(distance_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")), 3))
     return near.filter(F.col("km") <= km).select("point", "place", "km")
 
 
