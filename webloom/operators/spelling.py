@@ -21,20 +21,28 @@ def most_edits(word: Column) -> Column:
     return F.when(F.length(word) <= 3, 0).when(F.length(word) <= 7, 1).otherwise(2)
 
 
-def _less(w: Column) -> Column:
-    """A word and what it is without one letter, and without two if it has eight and more."""
+def _less(w: Column, most: int) -> Column:
+    """Hashes of a word and of what it is without one letter, for pairs of one edit, and of what it is without two if it has eight and more and
+    `most` allows two edits. Longer words meet others in the latter; in the former, then, only words of eight letters can meet one of seven."""
     cut = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-    one = cut(w)
-    return F.array_distinct(F.concat(F.array(w), one, F.when(F.length(w) > 7, F.flatten(F.transform(one, cut))).otherwise(F.array().cast("array<string>"))))
-
-
-def near_words(rare: DataFrame, known: DataFrame) -> DataFrame:
-    """word, fix, edits: words of `rare` (word) and of `known` (fix) within the edits that both allow; they meet in what letters less make of them."""
-    a = rare.select("word", F.explode(_less(F.col("word"))).alias("form"))
-    b = known.select("fix", F.explode(_less(F.col("fix"))).alias("form"))
-    pairs = a.join(b, "form").select("word", "fix").filter("word <> fix").distinct()
-    least = F.least(most_edits(F.col("word")), most_edits(F.col("fix")))
-    return pairs.withColumn("edits", F.levenshtein("word", "fix")).filter(F.col("edits") <= least)
+    hashes = lambda x, n: F.transform(x, lambda y: F.xxhash64(F.lit(n), y))
+    none = F.array().cast("array<bigint>")
+    one = F.concat(F.array(w), cut(w))
+    if most == 1:
+        return F.when(F.length(w) > 3, F.array_distinct(hashes(one, 1))).otherwise(none)
+    two = lambda: F.array_distinct(hashes(F.concat(one, F.flatten(F.transform(cut(w), cut))), 2))
+    near = F.when(F.length(w).between(4, 8), F.array_distinct(hashes(one, 1))).otherwise(none)
+    return F.concat(near, F.when(F.length(w) > 7, two()).otherwise(none))
+
+
+def near_words(rare: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
+    """word, fix, edits: words of `rare` (word) and of `known` (fix) within the edits that both allow, and within `most` (1 or 2);
+    they meet in hashes of what letters less make of them. The join is told to sort: a planner takes exploded words for as small as the words, and would broadcast them."""
+    a = rare.select("word", F.explode(_less(F.col("word"), most)).alias("form"))
+    b = known.select("fix", F.explode(_less(F.col("fix"), most)).alias("form"))
+    least = F.least(most_edits(F.col("word")), most_edits(F.col("fix")), F.lit(most))
+    edits = F.levenshtein("word", "fix", 2)  # -1 beyond
+    return a.hint("merge").join(b, "form").filter("word <> fix").select("word", "fix", edits.alias("edits")).filter((F.col("edits") >= 0) & (F.col("edits") <= least)).distinct()
 
 
 def _known(spark, d) -> DataFrame:
@@ -102,7 +110,7 @@ def name_fixes(spark, d):
     known = keep(sites.filter((F.col("score") >= NAME_SCORE) & F.regexp_like("fix", F.lit("^[a-z]{5,}$"))))
     typed = known.select(F.concat(F.substring("fix", 1, 2), F.expr("substring(fix, 4)")).alias("word")).distinct()
     typed = typed.join(sites.select(F.col("fix").alias("word")), "word", "left_anti")
-    near = near_words(typed, known.select("fix").distinct()).join(known, "fix")
+    near = near_words(typed, known.select("fix").distinct(), 1).join(known, "fix")  # the name that a slip was made of is one edit away
     w = Window.partitionBy("word").orderBy("edits", F.desc("score"), "domain")
     return near.withColumn("place", F.row_number().over(w)).filter("place = 1").select("word", "domain", "edits")
 
