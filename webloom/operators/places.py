@@ -127,7 +127,7 @@ def mistyped_places(spark, d):
     """Names of sites, as towns', typed without their second letter, and what is meant."""
     n = table(spark, d, "site_items").select(F.lower("title").alias("fix")).filter(F.regexp_like("fix", F.lit("^[a-z]{5,}$"))).distinct()
     typed = n.select(F.concat(F.substring("fix", 1, 1), F.expr("substring(fix, 3)")).alias("word")).distinct()
-    near = near_words(typed, n)
+    near = near_words(typed, n, 1)  # the name that a slip was made of is one edit away
     w = Window.partitionBy("word").orderBy("edits", "fix")
     return near.withColumn("n", F.row_number().over(w)).filter("n = 1").select("word", "fix")
 
