@@ -70,3 +70,13 @@ def _exploded_broadcasts(df):
 @pytest.mark.parametrize("name", ["local_first", "filled_towns", "places_around", "name_fixes", "mistyped_places"])
 def test_what_is_exploded_is_not_broadcast(spark, name):
     assert not _exploded_broadcasts(catalog.QUERIES[name](spark, DATA))
+
+
+def test_question_pages_of_repeated_titles_equal_sql(spark, tmp_path):
+    """Many pages of one title, one page under two titles, and questions of common words alone."""
+    titles = [f"{x} {y}" for x in ("Mill", "Lane", "Old Mill Lane", "Rare") for y in ("walking tours", "maps and guides", "since 1987")] * 15
+    data = [(7 * i, t, i, "docs", "a.example", "en") for i, t in enumerate([*titles, "Where is Mill now", "where is it", "Unique walking tours"])] + [(140, "Another Lane", 5, "docs", "a.example", "en")]
+    spark.createDataFrame(data, "doc_id long, title string, n_chars long, source string, site string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert _exact(catalog.QUERIES["question_pages"](spark, str(tmp_path)).toPandas()) == _exact(c.execute(catalog.SQL["question_pages"]).fetchdf())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import text as T
 from webloom.operators import merge, search
 from webloom.operators.passes import QUESTIONS
+from webloom.plans.lineage import keep
 from webloom.sources.tables import table
 
 # Marks of names (title, other name, part), share of popularity, least coverage of a question, margins of readers, pages placed.
@@ -73,17 +74,29 @@ def page_scores(spark, d) -> DataFrame:
 
 
 def question_pages(spark, d):
-    """Pages that hold QUESTION of the weight (rarity) of a question's words, over title words; the best three a question."""
+    """Pages that hold QUESTION of the weight (rarity) of a question's words, over title words; the best three a question.
+
+    Pages whose titles have the same words cover the same, so that sets of words meet the questions, and the first three pages of each set count.
+    A set without any of a question's heaviest words, down to where the others weigh less than QUESTION, can't cover it: only those words are joined.
+    """
+    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(T.words(F.col("title"))))))
+    titled = keep(pages(spark, d).groupBy("page").agg(words.alias("held"), F.count("*").alias("rows")).withColumn("set", F.array_join("held", " ")))
+    whole = titled.agg(F.sum("rows").alias("n"))
+    df = titled.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).select("word", F.round(F.log1p(F.col("n") / F.col("df")), 5).alias("weight"))  # one row
     q = _asked(spark, d).filter(F.get(F.split(F.lower("query"), " "), F.lit(0)).isin(*QUESTIONS)).select("query", F.explode(F.array_distinct(T.words(F.col("query")))).alias("word"))
-    p = pages(spark, d).select("page", F.explode(F.array_distinct(T.words(F.col("title")))).alias("word"))
-    whole = pages(spark, d).agg(F.count("*").alias("n"))
-    df = p.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).select("word", F.round(F.log1p(F.col("n") / F.col("df")), 5).alias("weight"))  # one row
-    weighed = q.join(df, "word")
-    total = weighed.groupBy("query").agg(F.sum("weight").alias("total"))
-    held = weighed.join(p, "word").groupBy("query", "page").agg(F.sum("weight").alias("held")).join(total, "query")
-    good = held.select("query", "page", F.round(F.col("held") / F.col("total"), 4).alias("coverage")).filter(F.col("coverage") >= QUESTION)
+    terms = q.hint("merge").join(df, "word").groupBy("query").agg(F.reverse(F.array_sort(F.collect_list(F.struct("weight", "word")))).alias("terms"))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, t: s + t["weight"])
+    total = terms.withColumn("total", add(F.col("terms")))
+    spare = 1e-3  # for what is rounded
+    heavy = F.filter("terms", lambda t, i: add(F.slice(F.col("terms"), i + 1, F.size("terms"))) >= (QUESTION - spare) * F.col("total"))
+    asked = total.select("query", "terms", "total", F.explode(F.transform(heavy, lambda t: t["word"])).alias("word"))
+    first = Window.partitionBy("set").orderBy("page")
+    three = keep(titled.withColumn("nth", F.row_number().over(first)).filter("nth <= 3").select("set", "held", "page", "nth"))
+    sets = three.filter("nth = 1").select("set", "held", F.explode("held").alias("word"))
+    coverage = F.round(add(F.filter("terms", lambda t: F.array_contains("held", t["word"]))) / F.col("total"), 4)
+    good = asked.hint("merge").join(sets, "word").select("query", "set", coverage.alias("coverage")).filter(F.col("coverage") >= QUESTION).distinct()
     w = Window.partitionBy("query").orderBy(F.desc("coverage"), "page")
-    return good.withColumn("place", F.row_number().over(w)).filter("place <= 3")
+    return good.join(three.select("set", "page"), "set").select("query", "page", "coverage").withColumn("place", F.row_number().over(w)).filter("place <= 3")
 
 
 def the_less(spark, d):
