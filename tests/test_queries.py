@@ -67,7 +67,7 @@ def _exploded_broadcasts(df):
     return [x for i, x in enumerate(lines) if "BroadcastExchange" in x and "Generate " in (under := "\n".join(lines[i : below[i]])) and "Join" not in under]
 
 
-@pytest.mark.parametrize("name", ["local_first", "filled_towns", "places_around", "name_fixes", "mistyped_places"])
+@pytest.mark.parametrize("name", ["local_first", "filled_towns", "places_around", "name_fixes", "mistyped_places", "spelling_forms"])
 def test_what_is_exploded_is_not_broadcast(spark, name):
     assert not _exploded_broadcasts(catalog.QUERIES[name](spark, DATA))
 
