@@ -80,3 +80,9 @@ def test_question_pages_of_repeated_titles_equal_sql(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert _exact(catalog.QUERIES["question_pages"](spark, str(tmp_path)).toPandas()) == _exact(c.execute(catalog.SQL["question_pages"]).fetchdf())
+
+
+def test_question_pages_sum_no_words_of_pages(spark):
+    """Every word of a question isn't joined with all pages that hold it, to be summed by question and page."""
+    plan = catalog.QUERIES["question_pages"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[query#\d+, page#", plan)
